@@ -1,19 +1,79 @@
-"""The registered queries of the operators of this subpackage."""
+"""The registered queries of the operators of this subpackage, and their SQL for DuckDB where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat, fingerprints, language, mixing, tokenids, toxicity
+from .scratch import Scratch
 from .secrets import BASE, RULES, find_secrets
+from .shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(key: Column, folds: int) -> Column:
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that the mix of all sources takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    rows = fingerprints.with_edits(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_string(F.col("signature")).alias("fingerprint"),
+        fingerprints.as_string(F.col("edited_signature")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fingerprints.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as token ids, written in the binary format and read back."""
+    import public_tokenizers
+
+    return tokenids.write_and_read(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), public_tokenizers.path(tokenids.VOCABULARY))
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the chosen one of a preference pair."""
+    turns = table(spark, sf_dir, "conversations")
+    rejected = chat.with_other_answers(turns, Scratch(spark, "op8"))
+    return chat.format_preferences(turns.withColumnRenamed("conv_id", "pair_id"), rejected)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    found = language.identify(docs, language.fit(docs, ~held_out))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: counts and a digest of the base kinds, and all spans."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -25,7 +85,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_token_ids": op7_token_ids,
+    "op8_preferences": op8_preferences,
+    "op9_language": op9_language,
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+    "op8_preferences": chat.ORACLE,
+}
