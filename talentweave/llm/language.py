@@ -123,6 +123,31 @@ def infer(model: LanguageModel, counts: np.ndarray) -> np.ndarray:
     return best
 
 
+def _predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[str]]:
+    """Main language, its share and the language set of each text; UNDETERMINED with 0 and no set where there is none."""
+    names, scores, sets = [], [], []
+    for _, block in text_blocks(texts, BLOCK):
+        for i in range(0, len(block), 128):
+            part = block[i : i + 128]
+            owner, cell = trigram_cells(part)
+            counts = np.bincount(owner * CELLS + cell, minlength=len(part) * CELLS).reshape(-1, CELLS).astype(np.float32)
+            known = np.flatnonzero(counts.any(axis=1)) if model.languages else np.zeros(0, int)
+            share = infer(model, counts[known]) if len(known) else []
+            at = dict(zip(known.tolist(), share, strict=True))
+            for d in range(len(part)):
+                if d not in at:
+                    names.append(UNDETERMINED)
+                    scores.append(0.0)
+                    sets.append("")
+                    continue
+                line = at[d] / at[d].sum()
+                by = [j for j in np.argsort(-line, kind="stable") if line[j] > 0]
+                names.append(model.languages[by[0]])
+                scores.append(min(1.0, float(line[by[0]])))
+                sets.append(",".join(f"{model.languages[j]}:{line[j]:.3f}" for j in by))
+    return names, scores, sets
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages) for every row: the most probable language, its proportion, and the language set
     as "lang:proportion" by falling proportion.
@@ -134,24 +159,19 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, sets = [], [], []
-            for _, texts in text_blocks(batch.column(1).to_pylist(), BLOCK):
-                for i in range(0, len(texts), 128):
-                    part = texts[i : i + 128]
-                    owner, cell = trigram_cells(part)
-                    counts = np.bincount(owner * CELLS + cell, minlength=len(part) * CELLS).reshape(-1, CELLS).astype(np.float32)
-                    known = np.flatnonzero(counts.any(axis=1)) if model.languages else np.zeros(0, int)
-                    share = infer(model, counts[known]) if len(known) else []
-                    at = dict(zip(known.tolist(), share, strict=True))
-                    for d in range(len(part)):
-                        if d not in at:
-                            names.append(UNDETERMINED), scores.append(0.0), sets.append("")
-                            continue
-                        line = at[d] / at[d].sum()
-                        by = [j for j in np.argsort(-line, kind="stable") if line[j] > 0]
-                        names.append(model.languages[by[0]])
-                        scores.append(min(1.0, float(line[by[0]])))
-                        sets.append(",".join(f"{model.languages[j]}:{line[j]:.3f}" for j in by))
+            names, scores, sets = _predict(model, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sets, pa.string())], ["id", "lang_pred", "score", "languages"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, lang_pred string, score double, languages string")
+
+
+def with_language(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose main language is determined and has at least the share `least`; nothing is shuffled."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, scores, _ = _predict(model, batch.column(place).to_pylist())
+            yield batch.filter(pa.array(np.array(scores) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

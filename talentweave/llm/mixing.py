@@ -104,6 +104,26 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     return near.unionByName(rest).select("id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
+def copies_of(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, all columns, each as often as the mix takes it.
+
+    Copies are counted for each (id, source, size); rows that share these share the copies evenly, the first ones by text
+    having one more.
+    """
+    mixed = mix(docs, scratch, id_col, text_col, source_col)
+    counted = mixed.groupBy("id", "source", "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    counted = scratch.save(counted.where("__copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__rows"), "copies")
+    rows = docs.withColumn("__words", word_count(docs[text_col]))
+    same = rows[id_col].eqNullSafe(counted["__id"]) & rows[source_col].eqNullSafe(counted["__source"]) & (rows["__words"] == counted["__size"])
+    rows = rows.join(counted, same)
+    if counted.where("__rows > 1").head(1):
+        place = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(text_col)) - 1
+        share = F.floor(F.col("__copies") / F.col("__rows")) + (place < F.col("__copies") % F.col("__rows")).cast("int")
+        rows = rows.withColumn("__copies", share).where("__copies > 0")
+    times = F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))
+    return rows.withColumn("__copy", times).select(docs.columns)
+
+
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

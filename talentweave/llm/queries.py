@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, language, mixing, tokenids, toxicity
+from . import chat, decontamination, fingerprints, language, mixing, neardup, substrings, tokenids, toxicity
 from .scratch import Scratch
 from .secrets import BASE, RULES, find_secrets
 from .shipping import ship
@@ -38,6 +38,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings that also start elsewhere."""
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    return rows.select(substrings.original_id(F.col("key")).alias("doc_id"), "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents hold, with their best windows; documents without one are not listed."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies of every document."""
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return rows.select(neardup.original_id(F.col("key")).alias("doc_id"), "n_shingles", neardup.original_id(F.col("component")).alias("component_id"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
     rows = fingerprints.with_edits(table(spark, sf_dir, "documents"), Scratch(spark, "op6"))
@@ -87,6 +105,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_repeated_substrings": op3_repeated_substrings,
+    "op4_decontamination": op4_decontamination,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_fingerprints": op6_fingerprints,
     "op7_token_ids": op7_token_ids,
     "op8_preferences": op8_preferences,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,8 @@ class Scratch:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
