@@ -6,19 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+from .plans.queries import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["neighbour_graph_top25"](spark, sf_dir)
+    """The 25 best neighbours of every role."""
+    return QUERIES["neighbour_graph_top25"](spark, sf_dir)
 
 
-def queries() -> dict[str, Query]:
-    return _QUERIES
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return ORACLES
