@@ -56,10 +56,10 @@ def _ranked(scored: DataFrame, score: Column, tie: Column, keep: int | None, nam
     return rows.where(F.col(name) <= keep) if keep else rows
 
 
-def neighbours(roles: DataFrame, links: DataFrame, capabilities: DataFrame, w: scoring.NeighbourWeights = scoring.NeighbourWeights(), rounded: bool = False) -> DataFrame:
+def neighbours(roles: DataFrame, links: DataFrame, capabilities: DataFrame, w: scoring.NeighbourWeights = scoring.NeighbourWeights(), rounded: bool = False, digits: int = 12) -> DataFrame:
     """The best neighbours of every role, ranked by raw score, then by the larger id.
 
-    `rounded` ranks on 12 decimals, so that another engine with another order of summation gives the same ranks.
+    `rounded` ranks on 12 decimals, so that another engine with another order of summation gives the same ranks; values are shown with `digits` decimals.
     """
     rarity = activity_rarity(links, roles).select("activity", (1 - F.col("share")).alias("weight"))
     items = links.select("role_id", "activity").distinct().join(F.broadcast(rarity), "activity", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -81,21 +81,21 @@ def neighbours(roles: DataFrame, links: DataFrame, capabilities: DataFrame, w: s
     raw = scoring.neighbour_score(F.col("readiness"), F.col("work"), F.col("same_sub_family"), F.col("grade"), w)
     pairs = pairs.withColumn("raw", raw)
     best = _ranked(pairs, F.round("raw", 12) if rounded else F.col("raw"), F.desc("b_role_id"), w.neighbours, "neighbour_rank")
-    shown = lambda c, k: F.round(k * F.col(c).cast("double"), 12)
+    shown = lambda c, k: F.round(k * F.col(c).cast("double"), digits)
     return best.select(
         F.col("a_role_id").alias("role_id"),
         F.col("b_role_id").alias("neighbour_role_id"),
         "neighbour_rank",
         F.col("delta").cast("int").alias("grade_step"),
-        F.round("readiness", 12).alias("readiness"),
-        F.round("work", 12).alias("work_similarity"),
+        F.round("readiness", digits).alias("readiness"),
+        F.round("work", digits).alias("work_similarity"),
         "same_sub_family",
-        F.round("grade", 12).alias("grade_proximity"),
+        F.round("grade", digits).alias("grade_proximity"),
         shown("readiness", w.readiness).alias("readiness_part"),
         shown("work", w.activities).alias("activity_part"),
         shown("same_sub_family", w.sub_family).alias("sub_family_part"),
         shown("grade", w.grade).alias("grade_part"),
-        F.round("raw", 12).alias("score"),
+        F.round("raw", digits).alias("score"),
     )
 
 

@@ -54,16 +54,16 @@ EDGES = f"""{ctes("roles", "role_activities", "role_capabilities")}, {RARITY}, {
   edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(raw, 12) DESC, b DESC) AS neighbour_rank FROM raw) WHERE neighbour_rank <= 25)"""
 
 
-def edges_of(d: Domain) -> DataFrame:
-    return graph.neighbours(d.roles(), d.role_activities(), d.role_capabilities(), rounded=True)
+def edges_of(d: Domain, digits: int = 12) -> DataFrame:
+    return graph.neighbours(d.roles(), d.role_activities(), d.role_capabilities(), rounded=True, digits=digits)
 
 
 @query(
-    f"""WITH {EDGES} SELECT a AS role_id, b AS neighbour_role_id, CAST(neighbour_rank AS INT) AS neighbour_rank, CAST(delta AS INT) AS grade_step, round(round(readiness, 12), 6) AS readiness,
-      round(round(work, 12), 6) AS work_similarity, same_sub AS same_sub_family, round(round(gp, 12), 6) AS grade_proximity, round(round(raw, 12), 6) AS score FROM edges"""
+    f"""WITH {EDGES} SELECT a AS role_id, b AS neighbour_role_id, CAST(neighbour_rank AS INT) AS neighbour_rank, CAST(delta AS INT) AS grade_step, round(readiness, 8) AS readiness,
+      round(work, 8) AS work_similarity, same_sub AS same_sub_family, round(gp, 8) AS grade_proximity, round(raw, 8) AS score FROM edges"""
 )
 def neighbour_graph_top25(d: Domain) -> DataFrame:
-    return rounded(edges_of(d).drop("readiness_part", "activity_part", "sub_family_part", "grade_part"), "readiness", "work_similarity", "grade_proximity", "score")
+    return edges_of(d, 8).drop("readiness_part", "activity_part", "sub_family_part", "grade_part")
 
 
 @query(
