@@ -73,7 +73,7 @@ def read_sheet(spark: SparkSession, data: bytes, sheet: str, columns: list[str])
 
 def write_workbook(sheets: dict[str, list[list]]) -> bytes:
     """A workbook of text cells; texts that a spreadsheet would take for a formula are marked as text."""
-    safe = lambda v: "" if v is None else f"'{v}" if isinstance(v, str) and v[:1] in "=+-@" else str(v)
+    safe = lambda v: "" if v is None else f"'{v}" if isinstance(v, str) and v[:1] in tuple("=+-@") else str(v)
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
