@@ -56,6 +56,18 @@ def unit(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x / norm)).otherwise(a)
 
 
+def dot(a: Column, b: Column, size: int | None = None) -> Column:
+    """Product of two arrays, 0 if their lengths differ; a known common length of up to 512 is written out as one sum,
+    which stays inside generated code."""
+    if size and size <= 512:
+        total = F.get(a, F.lit(0)) * F.get(b, F.lit(0))
+        for k in range(1, size):
+            total = total + F.get(a, F.lit(k)) * F.get(b, F.lit(k))
+        return total
+    product = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, y: s + y)
+    return F.when(F.size(a) == F.size(b), product).otherwise(F.lit(0.0))
+
+
 def overlap_coefficient(shared: Column, size_a: Column, size_b: Column) -> Column:
     small = F.least(size_a, size_b)
     return F.when(small > 0, F.coalesce(shared, F.lit(0)) / small).otherwise(F.lit(0.0))
