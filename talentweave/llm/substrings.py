@@ -32,9 +32,11 @@ from .wordgrams import mix
 LENGTH = 200
 ANCHOR = 48
 #: Different surroundings of an anchor that one task ranks at most.
-ANCHOR_CLASSES = 20_000
-_PIECE = 1 << 20
-_BATCH = 400_000
+ANCHOR_CLASSES = 5000
+_PIECE = 1 << 18
+#: Anchors whose strings are ranked together, about, and texts that are cut together.
+_ANCHORS = 4000
+_TEXTS = 500
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _OTHER = 0xD6E8FEB86659FD93
@@ -147,7 +149,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
                 out["key"].append(batch.column(0)[row].as_py())
                 out["h"].append(batch.column(1)[row].as_py())
                 out["bytes"].append(text[m["first"] : m["last"] + length])
-            if len(out["k"]) > 20_000:
+            if len(out["k"]) > _ANCHORS:
                 yield _surrounding_batch(out)
                 out = {x: [] for x in out}
         yield _surrounding_batch(out)
@@ -199,7 +201,7 @@ def _rank(length: int):
             col = lambda x: t.column(x).combine_chunks()
             return ranked(col("k").to_numpy(), col("n").to_numpy(), col("key"), col("h"), col("first").to_numpy().astype(np.int64), col("bytes").to_pylist())
 
-        limit = max(1, _BATCH // length * 10)
+        limit = _ANCHORS
         for batch in batches:
             for at in range(0, batch.num_rows, limit):
                 part = batch.slice(at, limit)
@@ -280,7 +282,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (b.slice(at, _TEXTS) for b in batches for at in range(0, b.num_rows, _TEXTS)):
             sizes, removed, kept = [], [], []
             for row in range(batch.num_rows):
                 data = (batch.column(1)[row].as_py() or "").encode()
