@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +16,7 @@ class Domain:
     """Bound relations of one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ship(spark)
         self.spark, self.t = spark, lambda name: table(spark, sf_dir, name)
 
     def roles(self) -> DataFrame:
