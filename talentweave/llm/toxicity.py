@@ -57,17 +57,21 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codepoints([f" {(x or '').lower()} " for x in texts])
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ToxicityModel:
-    """Fits the model; rows without a label are left out, and a null text counts as empty.
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ToxicityModel:
+    """Fits the model on documents with a label in `labels` (id, label); null labels and ids are left out, a null text is empty.
 
-    Without both classes the model has no feature and gives the smoothed share of the class it saw.
+    Sizes alone are joined with the labels to learn what share of them the sample may take; the labels of the sample, about
+    `rows` at most, are then broadcast to the documents, so no text is shuffled. Without both classes the model has no
+    feature and gives the smoothed share of the class it saw.
     """
-    known = labelled.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) == 1).alias("toxic"))
-    n, total = known.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    known = labels.where(F.col(label_col).isNotNull()).select(id_col, (F.col(label_col) == 1).alias("toxic"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    n, total = docs.select(id_col, F.length(text).alias("size")).join(known, id_col).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = min(1.0, rows / max(1, n), chars / max(1, total))
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sample = known.where(chosen).orderBy("id").select("text", "toxic").toArrow()
+    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = docs.select(id_col, text.alias("text")).join(F.broadcast(chosen), id_col).toArrow().sort_by([(id_col, "ascending"), ("text", "ascending")])
     texts, label = sample.column("text").to_pylist(), np.array(sample.column("toxic").to_pylist(), bool)
+    del sample
     if label.all() or not label.any():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((label.sum() + 1) / ((~label).sum() + 1))))
 
