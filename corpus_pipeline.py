@@ -20,7 +20,7 @@ from talentweave.llm import decontamination, language, mixing, neardup, tokenids
 from talentweave.llm.ordering import order_key
 from talentweave.llm.queries import table
 from talentweave.llm.scratch import Scratch
-from talentweave.llm.shipping import ship
+from talentweave.shipping import ship
 
 #: The least proportion of a document's main language.
 MAIN_LANGUAGE = 0.5

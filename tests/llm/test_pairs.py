@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from talentweave.llm import decontamination, neardup, substrings, triejoin
 from talentweave.llm.queries import op3_repeated_substrings, op4_decontamination, op5_jaccard_join
 from talentweave.llm.scratch import Scratch
-from talentweave.llm.shipping import ship
+from talentweave.shipping import ship
 
 R = random.Random(11)
 VOCABULARY = ["".join(R.choice("abcdeé") for _ in range(R.randrange(1, 7))) for _ in range(400)]

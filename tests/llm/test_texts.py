@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from talentweave.llm import chat, fingerprints, language, mixing, queries, tokenids, toxicity
 from talentweave.llm.scratch import Scratch
-from talentweave.llm.shipping import ship
+from talentweave.shipping import ship
 
 SF = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path(tokenids.VOCABULARY)
