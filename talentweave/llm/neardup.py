@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                     sets.append(items.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64())], ["rep", "items", "n"])
 
-    sets = rows.join(left.select(F.col("rep").alias("key"), "k1", "k2"), "key").select("key", "text", "k1", "k2").mapInArrow(chosen, "rep bigint, items binary, n bigint")
+    # the list of classes grows with the corpus, so it is merged with the texts at every size and never broadcast
+    sets = rows.join(left.select(F.col("rep").alias("key"), "k1", "k2").hint("merge"), "key").select("key", "text", "k1", "k2").mapInArrow(chosen, "rep bigint, items binary, n bigint")
     sets = scratch.save(sets, "sets")
     bits = max(4, int((sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) / BUCKET).bit_length())
 
