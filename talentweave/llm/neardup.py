@@ -34,8 +34,9 @@ from .wordgrams import shingles, words
 
 #: Elements of a bucket that one task sorts, about.
 BUCKET = 2_000_000
-#: Classes of one batch that share an element before it counts as frequent everywhere.
-HOT = 32
+#: Rows of a batch that are sorted together, and how many of them share an element before it counts as frequent everywhere.
+SLICE = 2000
+HOT = 8
 #: Classes and elements of a group that one task joins at most.
 GROUP_CLASSES = 20_000
 GROUP_ELEMENTS = 4_000_000
@@ -58,6 +59,12 @@ def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]
             yield i + k, np.unique(value[ends[k] : ends[k + 1]])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _digest(items: np.ndarray) -> tuple[int, int]:
     if not len(items):
         return 0, 0
@@ -91,7 +98,7 @@ def _beginnings(bits: int):
     """Deals the first elements of every set; those shared within the batch are counted here and go out twice in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             elements, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, items in _sets(batch, 0):
                 if len(items):
@@ -141,7 +148,7 @@ def _by_element(bits: int):
     """Deals all elements of the sets, with class and a mark on those that are frequent in their batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not sets:
                 continue
@@ -190,7 +197,7 @@ def _hot_answers(bits: int):
     """What a class knows of elements that are frequent in its own batch, dealt by class; also its size, as element 0 of frequency -n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
             if not sets:
                 continue
