@@ -115,7 +115,7 @@ def copies_of(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     counted = scratch.save(counted.where("__copies > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__copies", "__rows"), "copies")
     rows = docs.withColumn("__words", word_count(docs[text_col]))
     same = rows[id_col].eqNullSafe(counted["__id"]) & rows[source_col].eqNullSafe(counted["__source"]) & (rows["__words"] == counted["__size"])
-    rows = rows.join(counted, same)
+    rows = rows.join(counted.hint("merge"), same)  # it grows with the corpus, so it is never broadcast
     if counted.where("__rows > 1").head(1):
         place = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(text_col)) - 1
         share = F.floor(F.col("__copies") / F.col("__rows")) + (place < F.col("__copies") % F.col("__rows")).cast("int")

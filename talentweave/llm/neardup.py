@@ -351,7 +351,7 @@ def one_of_each(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     """
     found = near_duplicates(docs, scratch, id_col, text_col)
     kept = scratch.save(found.where("key = component").groupBy("key").agg(F.count("*").alias("rows")).withColumnRenamed("key", "__key"), "kept")
-    rows = docs.withColumn("__key", order_key(docs[id_col])).join(kept, "__key")
+    rows = docs.withColumn("__key", order_key(docs[id_col])).join(kept.hint("merge"), "__key")  # it grows with the corpus
     if kept.where("rows > 1").head(1):
         wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         rows = rows.withColumn("__wordless", wordless)
