@@ -16,7 +16,6 @@ which equal surroundings are there once. Anchors with very many different surrou
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from hashlib import sha256
 
 import numpy as np
@@ -33,7 +32,7 @@ LENGTH = 200
 ANCHOR = 48
 #: Different surroundings of an anchor that one task ranks at most.
 ANCHOR_CLASSES = 5000
-_PIECE = 1 << 18
+_PIECE = 1 << 17
 #: Anchors whose strings are ranked together, about, and texts that are cut together.
 _ANCHORS = 4000
 _TEXTS = 500
@@ -45,23 +44,28 @@ _VALUES = np.random.default_rng(41).integers(1, 1 << 63, (2, 256), np.uint64) *
 _LOW = np.uint64((1 << 24) - 1)
 
 
-@cache
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+    """The first n powers of a base; the longest table so far is kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        known = _POWERS[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
+    return known[:n]
 
 
 class Names:
     """Names of substrings of `data`: equal substrings of the same length have the same name, wherever they start."""
 
     def __init__(self, data: np.ndarray, other: bool = False) -> None:
-        size = 1 << max(10, int(len(data)).bit_length())
-        self.inverse = _powers(_OTHER_INVERSE if other else _INVERSE, size)
+        self.inverse = _powers(_OTHER_INVERSE if other else _INVERSE, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[int(other)][data] * _powers(_OTHER if other else _ODD, size)[: len(data)], out=self.sums[1:])
+        np.cumsum(_VALUES[int(other)][data] * _powers(_OTHER if other else _ODD, len(data) + 1)[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
-        begins = self.inverse[start] if not isinstance(start, slice) else self.inverse[: len(self.sums)][start]
-        return (self.sums[end] - self.sums[start]) * begins
+        return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -265,6 +269,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, length: int = LENGTH, ancho
         twice = pairs.groupBy("a", "b").count().where("count > 1").select("a", "b")
         dealt = pairs.where("n = 1").join(twice, ["a", "b"]).select("key", "h", "begin", (F.col("begin") + length).alias("end"))
         runs = runs.unionByName(scratch.save(dealt, "dealt"))
+    scratch.drop("anchors", "classes", "around")
     return runs
 
 
