@@ -328,6 +328,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     groups = components(stars, scratch, "groups").select(F.col("node").alias("rep"), F.col("root").alias("label"))
 
     members = scratch.save(sets.join(groups, "rep").select("label", "rep", "items", "n"), "members")
+    scratch.drop("left", "sets", "beginnings")
     sizes = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("n").alias("elements"))
     sizes = scratch.save(sizes.withColumn("large", (F.col("n") > group_classes) | (F.col("elements") > GROUP_ELEMENTS)), "sizes")
     small = members.join(sizes.where("not large").select("label"), "label").select("label", "rep", "items")
@@ -337,6 +338,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         large = members.join(sizes.where("large").select("label"), "label").select("label", "rep", "items")
         more = components(_large_links(large, sizes.where("large"), scratch, group_classes), scratch, "large_groups")
         found = found.unionByName(more.select(F.col("node").alias("rep"), F.col("root").alias("root")))
+    scratch.drop("members")
     smallest = found.groupBy("root").agg(F.min("rep").alias("component"))
     found = found.join(smallest, "root").groupBy("rep").agg(F.min("component").alias("component"))
     named = classes.join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))

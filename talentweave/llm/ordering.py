@@ -25,4 +25,6 @@ def successors(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     by_range = Window.orderBy("range")
     firsts = firsts.select("range", F.coalesce(F.lead("first").over(by_range), F.min("first").over(Window.partitionBy(F.lit(1)))).alias("after"))
     linked = ranged.join(firsts, "range").withColumn("lead", F.lead("key").over(Window.partitionBy("range").orderBy("key")))
-    return scratch.save(linked.select("key", F.coalesce("lead", "after").alias("next_key")), name)
+    chain = scratch.save(linked.select("key", F.coalesce("lead", "after").alias("next_key")), name)
+    scratch.drop(f"{name}_ranges")
+    return chain
