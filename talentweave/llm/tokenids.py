@@ -108,7 +108,8 @@ class WordEncoder:
 
     This tokenizer drops white space and none of its rules looks across it, so the ids of a text are the ids of its pieces
     one after the other; pieces repeat, so each is encoded once for as long as it stays in a cache of bounded size. A full
-    stop or comma behind letters alone is a piece of its own for the same reason.
+    stop or comma behind letters alone is a piece of its own for the same reason, if they are still letters alone when
+    normalised and lower-cased: a combining mark at the end, as of U+0130, would be one word with the stop.
     """
 
     def __init__(self, path: str) -> None:
@@ -119,13 +120,18 @@ class WordEncoder:
     def _whole(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    @staticmethod
+    def _letters(core: str) -> bool:
+        """Letters alone, before and after the tokenizer's normalisation."""
+        return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
+
     def _learn(self, pieces: set[bytes]) -> None:
         if len(self.known) > _WORDS:
             self.known.clear()
         plain, other, stopped = [], [], []
         cores: set[bytes] = set()
         for piece in pieces:
-            if piece[-1:] in self.stops and piece[:-1] and piece[:-1].decode().isalpha():
+            if piece[-1:] in self.stops and self._letters(piece[:-1].decode()):
                 stopped.append(piece)
                 cores.add(piece[:-1])
         for piece in (pieces | cores).difference(stopped):

@@ -41,6 +41,15 @@ def test_pieces_give_the_tokenizers_own_ids():
         assert ids == tokenids.ids_of(VOCABULARY, d), repr(d)
 
 
+def test_stops_behind_letters_that_end_in_a_mark():
+    letters = [c for c in map(chr, range(0x20000)) if c.isalpha()]
+    docs = ["BELGESİ.", "HİZMETLERİ,", "\u0958,", "\u0915\u093c.", *(f"{a}{c}{stop}" for c in letters for a in ("", "b") for stop in ".,")]
+    encoder = tokenids.WordEncoder(VOCABULARY)
+    got = encoder.encode([d.encode() for d in docs])
+    want = encoder._whole(docs)
+    assert [d for d, a, b in zip(docs, got, want, strict=True) if a != b] == []
+
+
 @pytest.mark.parametrize("block_ids", [1, 40, 1 << 20])
 def test_blocks_round_trip(spark, block_ids):
     ship(spark)
