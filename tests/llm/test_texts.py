@@ -170,6 +170,61 @@ def test_swapped_order_changes_a_signature(spark):
     assert x != y
 
 
+def swapped(words, size=5):
+    blocks = [words[i : i + size] for i in range(0, len(words), size)]
+    return [w for b in reversed(blocks) for w in b]
+
+
+def test_short_texts_have_the_minimal_kmers_of_the_whole_text(spark):
+    r = random.Random(12)
+    texts = ["one", "a b", "a b c", *(" ".join(r.choice("abcdefghijkl") for _ in range(n)) for n in (4, 10, 30, 60, 100, 400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    bits = fingerprints._HASH_BITS
+    rows = df.select("i", fingerprints._sorted(F.col("t"), lambda t: t).alias("t"), fingerprints.full_signature(F.col("t")).alias("s")).collect()
+    hashes = [(x.i, c, t >> fingerprints.PLACE_BITS, t & ((1 << fingerprints.PLACE_BITS) - 1)) for x in rows for t in x.t for c in range(64)]
+    ranked = spark.createDataFrame(hashes, "i int, c long, h long, p long").withColumn("r", F.xxhash64("h", "c")).collect()
+    orders = {}
+    for x in ranked:  # those dealt to the cell first, then all others by the hash of the cell
+        dealt = x.h >> (bits - fingerprints.CELL_BITS) == x.c
+        orders.setdefault((x.i, x.c), []).append((not dealt, x.h if dealt else x.r, x.p, x.h))
+    tuples = []
+    for (i, c), found in orders.items():
+        least = [x[3] for x in sorted(sorted(found)[: fingerprints.DEPTH], key=lambda x: x[2])]
+        tuples.append((i, c, *least, *[None] * (2 - len(least))))
+    want = {}
+    for x in spark.createDataFrame(tuples, "i int, c long, a long, b long").withColumn("v", F.xxhash64("a", "b")).collect():
+        want.setdefault(x.i, []).append(x.c << 32 | (x.v & 0xFFFFFFFF))
+    assert {x.i: x.s for x in rows} == {i: sorted(x) for i, x in want.items()}
+
+
+def test_likeness_of_short_texts_after_a_block_swap(spark, tmp_path):
+    """As near as plain Order MinHash says: both minimal k-mers common and in the same order."""
+    r = random.Random(13)
+    for n in (20, 30, 60):
+        pairs, plain = [], []
+        for _ in range(60):
+            a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            b = swapped(a)
+            pairs.append((" ".join(a), " ".join(b)))
+            x, y = ({(p, q): i for i, (p, q) in enumerate(zip(w, w[1:]))} for w in (a, b))
+            for _ in range(64):
+                order = {k: r.random() for k in {*x, *y}}
+                tx, ty = (sorted(sorted(k, key=order.get)[:2], key=k.get) for k in (x, y))
+                plain.append(tx == ty)
+        df = spark.createDataFrame(pairs, "a string, b string")
+        got = df.select(fingerprints.likeness(fingerprints.full_signature(F.col("a")), fingerprints.full_signature(F.col("b")))).collect()
+        assert abs(np.mean([x[0] for x in got]) - np.mean(plain)) < 0.03
+
+
+def test_texts_without_white_space_are_near_their_edits(spark, tmp_path):
+    r = random.Random(14)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(20)] + ["".join(r.choice("0123456789abcdef") for _ in range(900)) for _ in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op6_fingerprints(spark, str(tmp_path)).collect()
+    assert min(np.mean([x.near_edited for x in got if (x.doc_id < 20) == cjk]) for cjk in (True, False)) > 0.05
+    assert np.mean([x.near_next for x in got]) < 0.02
+
+
 # --- chat
 
 
