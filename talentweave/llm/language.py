@@ -24,7 +24,6 @@ UNDETERMINED = "und"
 #: A language model is fitted on about so many labelled documents at most, chosen by a hash of the id.
 FIT_ROWS = 20_000
 ROUNDS = 8
-MOST_LANGUAGES = 4
 #: Log-likelihood that one more language has to win, for each logarithm of the number of trigrams.
 PENALTY = 3.0
 BLOCK = 400_000
@@ -101,15 +100,17 @@ def infer(model: LanguageModel, counts: np.ndarray) -> np.ndarray:
     """Language proportions of each document (rows of cell counts, none of them empty), 0 outside its language set."""
     likelihood = model.likelihood.astype(np.float32)
     n, k = len(counts), len(model.languages)
-    share, _ = _em(counts, likelihood, np.full((n, k), 1 / k, np.float32), ROUNDS)
+    share, log = _em(counts, likelihood, np.full((n, k), 1 / k, np.float32), ROUNDS)
+    # the log-likelihood is concave in the shares, so no shares get more than this
+    most = log + ((counts / (share @ likelihood)) @ likelihood.T).max(axis=1) - counts.sum(axis=1)
     order = np.argsort(-share, axis=1, kind="stable")
     every = np.arange(n)
     best = np.zeros((n, k), np.float32)
     best[every, order[:, 0]] = 1
     value = (counts * np.log(likelihood[order[:, 0]])).sum(axis=1)
     step = PENALTY * np.log(np.maximum(counts.sum(axis=1), 2))
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
-        more = np.flatnonzero(share[every, order[:, size - 1]] > 0.01)
+    for size in range(2, k + 1):
+        more = np.flatnonzero(most - (size - 1) * step > value)
         if not len(more):
             break
         begin = np.zeros((len(more), k), np.float32)

@@ -282,3 +282,14 @@ def test_toxicity_of_odd_inputs(spark):
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         got = toxicity.score(docs, model).collect()
         assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_sets_have_every_language_that_wins_its_penalty():
+    r = np.random.default_rng(4)
+    line = r.dirichlet(np.full(language.CELLS, 0.05), 7) + 1e-7
+    model = language.LanguageModel(list("abcdefg"), line / line.sum(axis=1, keepdims=True))
+    mixes = np.array([[1, 1, 1, 1, 1, 1, 0], [1, 0, 0, 0, 0, 0, 0], [0.995, 0, 0, 0.005, 0, 0, 0], [1, 1, 1, 1, 1, 1, 1]], float)
+    counts = np.array([r.multinomial(40_000, m / m.sum() @ model.likelihood) for m in mixes]).astype(np.float32)
+    share = language.infer(model, counts)
+    assert ((share > 0) == (mixes > 0)).all()
+    assert np.abs(share - mixes / mixes.sum(axis=1, keepdims=True)).max() < 0.02
