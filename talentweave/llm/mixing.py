@@ -2,9 +2,10 @@
 
 Every source gets a target of words. A document's expected copies are its source's target over its source's words, so the
 whole part of that number is certain and the fraction is the inclusion probability p of one more copy. The additional
-copies are a Pareto order sample: documents are ranked by the odds of a uniform number u(id) over the odds of p, and those
-with the smallest quotients are taken until the words left of the target are used up; the document at the border is taken
-if that comes nearer to the target. u depends on the id alone, so reruns agree.
+copies are an order sample: a Pareto sample ranks by the odds of a uniform number u(id) over the odds of p, and as p is the
+same for all documents of a source, that is the order of u, by which they are taken until the words left of the target are
+used up; the document at the border is taken if that comes nearer to the target, and all behind it are left. u depends on
+the id alone, so reruns agree.
 
 Cumulative words in rank order need no sort of a whole source: ranks are cut into CELLS ranges of u, the sums of the
 ranges are aggregated, and only the range in which the target falls is ordered.
