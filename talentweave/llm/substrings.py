@@ -1,15 +1,15 @@
 """Removal of repeated substrings: every byte covered by a string of LENGTH bytes that also starts anywhere else.
 
-This is prefix doubling that stops at the threshold, on positions that can still have an equal. The names (ranks) of
-short prefixes are hashes, which agree wherever the strings do, so the name of a prefix of twice the length is the pair of
-the names at its two halves and needs no exchange; Spark sorts the pairs and drops what is unique, in two rounds.
+Minimizer anchors and hash names stand in for prefix doubling: no ranks are sorted at growing offsets. Names of strings are
+hashes, which agree wherever the strings do; the name of a string of twice the length is the pair of the names at its two
+halves and needs no exchange. Two rounds drop what is unique.
 
-Round 1 ranks one prefix for many positions. Each string of LENGTH bytes is represented by its minimal ANCHOR bytes (by
+Round 1 groups one anchor for many positions. Each string of LENGTH bytes is represented by its minimal ANCHOR bytes (by
 hash, the last on ties), a choice that depends on the string alone: equal strings have equal anchors at equal offsets. An
 anchor that occurs once retires all strings it stands for. Where all occurrences of an anchor have the same surroundings
 in full, all its strings repeat and need no second round.
 
-Round 2 ranks the strings themselves: pairs of the names of both halves, sorted within the occurrences of an anchor, of
+Round 2 compares the strings themselves: pairs of the names of both halves, sorted within the occurrences of an anchor, of
 which equal surroundings are there once. Anchors with very many different surroundings are dealt by pair instead.
 """
 
