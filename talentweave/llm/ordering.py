@@ -15,6 +15,18 @@ def order_key(column: Column) -> Column:
     return F.coalesce(column.cast("long"), F.lit(NO_ID))
 
 
+def hash63(column: Column) -> Column:
+    """A number from 0 to below 2 ** 63 that depends on the value alone."""
+    return F.shiftrightunsigned(F.xxhash64(column.cast("string")), 1)
+
+
+def in_share(column: Column, share: float) -> Column:
+    """Whether a value is in a sample of about this share; any share above 2 ** -63 has members."""
+    if share >= 1:
+        return F.lit(True)
+    return hash63(column) <= F.lit(int(share * (1 << 63)) - 1)
+
+
 def successors(keys: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(key, next_key) for distinct keys: the next larger key, and after the largest the smallest.
 

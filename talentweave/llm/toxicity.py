@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import hash63, in_share
 from .textbatch import blocks, codepoints
 
 ORDERS = (3, 4, 5, 6)
+#: N-grams of the model, the ones that tell the classes apart best.
 FEATURES = 2048
-#: The classifier is fitted on a sample of the labelled rows, chosen by a hash of the id: about so many rows and code points at most.
+#: The classifier is fitted on a sample of the labelled rows, those of the smallest hashes of the id: so many rows and code
+#: points at most (but for a single row that is longer).
 FIT_ROWS = 8_000
 FIT_CHARS = 24_000_000
 BLOCK = 500_000
@@ -57,19 +60,54 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codepoints([f" {(x or '').lower()} " for x in texts])
 
 
+def _chosen(known: DataFrame, rows: int, chars: int) -> list:
+    """Rows (id, toxic, h, size) of the sample: the first by hash that fit, or the shortest one where none does."""
+    n = known.count()
+    first = known.where(in_share(F.col("id"), 4 * rows / max(1, n))).orderBy("h", "id", "size", "toxic").limit(rows).collect()
+    if n and not first:
+        raise ValueError(f"an empty sample of {n} labelled rows")
+    held, out = 0, []
+    for r in first:
+        if held + r["size"] <= chars:
+            held += r["size"]
+            out.append(r)
+    return out or sorted(first, key=lambda r: r["size"])[:1]
+
+
+def _frequencies(seen: list[np.ndarray], label: np.ndarray, least: int, parts: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams in at least `least` documents, and in how many toxic and clean ones; hashes are counted range by range."""
+    found = []
+    edges = [np.uint64(k * ((1 << 64) // parts)) for k in range(1, parts)]
+    cuts = [[0, *np.searchsorted(x, edges).tolist(), len(x)] for x in seen]
+    for k in range(parts):
+        sides = []
+        for side in (True, False):
+            own = [seen[i][cuts[i][k] : cuts[i][k + 1]] for i in np.flatnonzero(label == side)]
+            sides.append(np.unique(np.concatenate(own), return_counts=True))
+        grams = np.union1d(sides[0][0], sides[1][0])
+        df = np.zeros((2, len(grams)), np.int64)
+        for line, (own, n) in zip(df, sides, strict=True):
+            line[np.searchsorted(grams, own)] = n
+        often = df.sum(axis=0) >= least
+        found.append((grams[often], df[0][often], df[1][often]))
+    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ToxicityModel:
     """Fits the model on documents with a label in `labels` (id, label); null labels and ids are left out, a null text is empty.
 
-    Sizes alone are joined with the labels to learn what share of them the sample may take; the labels of the sample, about
-    `rows` at most, are then broadcast to the documents, so no text is shuffled. Without both classes the model has no
-    feature and gives the smoothed share of the class it saw.
+    An id with several labels counts as toxic if one of them is; documents that repeat an id have its label each. Sizes
+    alone are joined with the labels to choose the sample; its ids, `rows` at most, are then broadcast to the documents,
+    so no text is shuffled. Without both classes, as for an empty table, the model has no feature and gives the smoothed
+    share of the class it saw.
     """
-    known = labels.where(F.col(label_col).isNotNull()).select(id_col, (F.col(label_col) == 1).alias("toxic"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n, total = docs.select(id_col, F.length(text).alias("size")).join(known, id_col).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    share = min(1.0, rows / max(1, n), chars / max(1, total))
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = docs.select(id_col, text.alias("text")).join(F.broadcast(chosen), id_col).toArrow().sort_by([(id_col, "ascending"), ("text", "ascending")])
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    sizes = docs.select(docs[id_col].alias("id"), F.length(text).alias("size"))
+    chosen = _chosen(sizes.join(known, "id").withColumn("h", hash63(F.col("id"))), rows, chars)
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(sorted({(r["id"], r["toxic"]) for r in chosen}), known.schema)
+    sample = docs.select(docs[id_col].alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     texts, label = sample.column("text").to_pylist(), np.array(sample.column("toxic").to_pylist(), bool)
     del sample
     if label.all() or not label.any():
@@ -79,19 +117,12 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     for i, text in enumerate(texts):
         seen.append(np.unique(np.concatenate([h for _, h in _grams(_points([text])[0])] or [np.zeros(0, np.uint64)])))
         texts[i] = ""
-    toxic_grams, toxic_df = np.unique(np.concatenate([seen[i] for i in np.flatnonzero(label)]), return_counts=True)
-    enough = toxic_df >= max(3, label.sum() // 200)
-    toxic_grams, toxic_df = toxic_grams[enough], toxic_df[enough]
-    clean_df = np.zeros(len(toxic_grams), np.int64)
-    for i in np.flatnonzero(~label):
-        at = np.searchsorted(toxic_grams, seen[i])
-        at = at[(at < len(toxic_grams))]
-        hit = at[np.isin(toxic_grams[at], seen[i], assume_unique=False)]
-        clean_df[np.unique(hit)] += 1
+    all_grams, toxic_df, clean_df = _frequencies(seen, label, max(3, min(label.sum(), (~label).sum()) // 200))
     p, q = (toxic_df + 1) / (label.sum() + 2), (clean_df + 1) / ((~label).sum() + 2)
     gain = np.abs(p - q) * np.abs(np.log(p / q))
     best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    grams, ratio = toxic_grams[best], np.log(p[best] / q[best])
+    best = best[np.argsort(all_grams[best])]
+    grams, ratio = all_grams[best], np.log(p[best] / q[best])
 
     owner, column = [], []
     for i, found in enumerate(seen):
