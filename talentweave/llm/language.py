@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import in_share
 from .textbatch import codepoints, text_blocks
 
 CELLS = 4096
 UNDETERMINED = "und"
 #: A language model is fitted on about so many labelled documents at most, chosen by a hash of the id.
 FIT_ROWS = 20_000
-ROUNDS = 8
+#: Expectation-maximisation ends where a round moves no proportion by more.
+SETTLED = 1e-3
 #: Log-likelihood that one more language has to win, for each logarithm of the number of trigrams.
 PENALTY = 3.0
 BLOCK = 400_000
@@ -60,11 +62,12 @@ class LanguageModel:
 def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = FIT_ROWS) -> LanguageModel:
     """Trigram distributions of the labelled rows for which `training` holds; rows without a label or text are left out.
 
-    What reaches the driver is CELLS counts for each label.
+    Of more than `rows` labelled rows a sample of about that many is counted, chosen by a hash of the id; what reaches the
+    driver is CELLS counts for each label. Without a labelled row no language is learned.
     """
     labelled = docs.where(training & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
-    share = rows / max(rows, labelled.count())
-    sample = labelled.where(F.pmod(F.xxhash64(docs[id_col].cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    n = labelled.count()
+    sample = labelled.where(in_share(docs[id_col], rows / max(rows, n)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -82,17 +85,24 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
 
     pairs = sample.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).mapInArrow(count, "lang string, cell int, n bigint")
     found = pairs.groupBy("lang", "cell").agg(F.sum("n").alias("n")).where("n > 0").toPandas()
+    if n > rows and not len(found):
+        raise ValueError(f"no trigram in a sample of {rows} of {n} labelled rows")
     languages = sorted(found["lang"].unique())
     counts = np.zeros((len(languages), CELLS))
     np.add.at(counts, (found["lang"].map(languages.index).to_numpy(int), found["cell"].to_numpy(int)), found["n"].to_numpy(float))
     return LanguageModel(languages, (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * CELLS))
 
 
-def _em(counts: np.ndarray, likelihood: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after `rounds` rounds, from `share`, and the log-likelihood; a language that begins at 0 stays there."""
+def _em(counts: np.ndarray, likelihood: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions where the rounds from `share` settle, and the log-likelihood; a language that begins at 0 stays there."""
+    share, moving = share.copy(), np.arange(len(counts))
     total = counts.sum(axis=1, keepdims=True)
-    for _ in range(rounds):
-        share = share * ((counts / (share @ likelihood)) @ likelihood.T) / total
+    now, rows = share, counts
+    while len(moving):
+        after = now * ((rows / (now @ likelihood)) @ likelihood.T) / total[moving]
+        share[moving] = after
+        on = np.abs(after - now).max(axis=1) > SETTLED
+        moving, now, rows = moving[on], after[on], rows[on] if not on.all() else rows
     return share, (counts * np.log(share @ likelihood)).sum(axis=1)
 
 
@@ -100,7 +110,7 @@ def infer(model: LanguageModel, counts: np.ndarray) -> np.ndarray:
     """Language proportions of each document (rows of cell counts, none of them empty), 0 outside its language set."""
     likelihood = model.likelihood.astype(np.float32)
     n, k = len(counts), len(model.languages)
-    share, log = _em(counts, likelihood, np.full((n, k), 1 / k, np.float32), ROUNDS)
+    share, log = _em(counts, likelihood, np.full((n, k), 1 / k, np.float32))
     # the log-likelihood is concave in the shares, so no shares get more than this
     most = log + ((counts / (share @ likelihood)) @ likelihood.T).max(axis=1) - counts.sum(axis=1)
     order = np.argsort(-share, axis=1, kind="stable")
@@ -117,7 +127,7 @@ def infer(model: LanguageModel, counts: np.ndarray) -> np.ndarray:
         rows = order[more, :size]
         begin[np.arange(len(more))[:, None], rows] = np.maximum(share[more[:, None], rows], 1e-3)
         begin /= begin.sum(axis=1, keepdims=True)
-        found, log = _em(counts[more], likelihood, begin, ROUNDS)
+        found, log = _em(counts[more], likelihood, begin)
         log -= (size - 1) * step[more]
         won = log > value[more]
         best[more[won]], value[more[won]] = found[won], log[won]
