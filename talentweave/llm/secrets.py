@@ -1,9 +1,13 @@
-"""Secret scans: every rule is part of one deterministic byte automaton that reads the text once.
+"""Secret scans: all rules are one deterministic byte automaton that reads the text once.
 
-The rules' triggers (the shortest text that a reportable match must contain) are parsed to a nondeterministic automaton,
-made deterministic by subset construction over byte classes and minimised by partition refinement. The scan runs many
-lanes of a batch at once: it cuts the text behind bytes that take every state back to the start, so each lane may begin
-in the start state. Texts in lanes that reach an accepting state are then matched exactly, rule by rule.
+The rules' patterns are parsed to a nondeterministic automaton, made deterministic by subset construction over byte classes
+and minimised by partition refinement into transition arrays. In the combined automaton every rule accepts what it would
+report, that is, with the least length of its group built in. The scan runs many lanes of a batch at once: it cuts the text
+behind bytes that take every state back to the start, which no match holds, so each lane may begin in the start state.
+
+Lanes that reach an accepting state are read by the automata of the rules that accepted there: of the leftmost place where a
+rule's own automaton accepts, the longest match is taken, and the next one is looked for behind it. For the rules here that
+is what a backtracking matcher gives, as their characters leave one way to match.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from hashlib import sha256
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,10 @@ from .textbatch import blocks, utf8
 
 @dataclass(frozen=True)
 class Rule:
+    """Matches of `pattern` (ASCII); those whose `group` has fewer than `least` characters are dropped after matching."""
+
     kind: str
     pattern: str
-    trigger: str
     group: int = 0
     least: int = 1
     any_case: bool = False
@@ -33,22 +38,25 @@ class Rule:
 
 #: The first three are the base rules; the order is the order of kinds at equal starts.
 RULES = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""", 2, 8, True),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{12}", 0, 16),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", 0, 32),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]{10}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN "),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"xox[abprs]-[A-Za-z0-9-]{10}"),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 BASE = 3
 
 
-def _parse(trigger: str, any_case: bool) -> list:
-    """The trigger as nested lists: a set of bytes, ("alt", parts), ("rep", part, least, most) or a sequence of these."""
+def _parse(rule: Rule, reported: bool) -> list:
+    """The pattern as nested lists: a set of bytes, ("alt", parts), ("rep", part, least, most) or a sequence of these.
+
+    With `reported`, the last repetition of the rule's group is as long as the group's least length asks.
+    """
     parser = re._parser
 
     def letters(found: set[int]) -> frozenset[int]:
-        if any_case:
+        if rule.any_case:
             found |= {ord(chr(b).swapcase()) for b in found if b < 128 and chr(b).isalpha()}
         return frozenset(found)
 
@@ -66,14 +74,23 @@ def _parse(trigger: str, any_case: bool) -> list:
             elif name == "MAX_REPEAT":
                 out.append(("rep", walk(arg[2]), arg[0], None if arg[1] == parser.MAXREPEAT else int(arg[1])))
             elif name == "SUBPATTERN":
-                out.append(("alt", [walk(arg[-1])]))
+                out.append(("alt", [lengthened(walk(arg[-1])) if arg[0] == rule.group else walk(arg[-1])]))
             elif name == "BRANCH":
                 out.append(("alt", [walk(x) for x in arg[1]]))
             else:
-                raise ValueError(f"a trigger can't use {name}")
+                raise ValueError(f"a rule can't use {name}")
         return out
 
-    return walk(parser.parse(trigger))
+    def lengthened(parts: list) -> list:
+        if not reported or rule.least <= 1:
+            return parts
+        *others, last = parts
+        if not (isinstance(last, tuple) and last[0] == "rep" and last[3] is None and all(isinstance(x, frozenset) for x in [*others, *last[1]])):
+            raise ValueError("the least length needs a group of single characters that ends in an open repetition")
+        return [*others, ("rep", last[1], max(last[2], rule.least - len(others)), None)]
+
+    whole = walk(parser.parse(rule.pattern))
+    return whole if rule.group else lengthened(whole)
 
 
 class _Nfa:
@@ -133,13 +150,12 @@ class Automaton:
         return len(self.move) // self.n_classes
 
 
-def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
+@cache
+def _rule_automaton(rule: Rule, reported: bool, anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The minimal automaton of a rule: next state by state and byte, and the states that accept. The start is 0."""
     nfa = _Nfa()
     first = nfa.state()
-    accepts: dict[int, int] = {}
-    for bit, rule in enumerate(rules):
-        nfa.empty[first].append(begin := nfa.state())
-        accepts[nfa.add(_parse(rule.trigger, rule.any_case), begin)] = 1 << bit
+    accepting = 1 << nfa.add(_parse(rule, reported), first)
 
     sets = sorted({s for moves in nfa.moves for s, _ in moves}, key=sorted)
     signatures = [tuple(b in s for s in sets) for b in range(256)]
@@ -147,39 +163,70 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
     byte_class = np.array([classes[x] for x in signatures], np.uint8)
     example = {int(c): b for b, c in reversed(list(enumerate(byte_class)))}
 
-    def closure(states) -> frozenset[int]:
-        seen, todo = set(), list(states)
+    def closure(state: int) -> int:
+        """The states that follow without a byte, as bits."""
+        seen, todo = 0, [state]
         while todo:
-            if (x := todo.pop()) not in seen:
-                seen.add(x)
+            if not seen >> (x := todo.pop()) & 1:
+                seen |= 1 << x
                 todo += nfa.empty[x]
-        return frozenset(seen)
-
-    start = closure([first])
+        return seen
+
+    closures = [closure(x) for x in range(len(nfa.empty))]
+    steps = [[0] * len(classes) for _ in nfa.moves]  # by state and class
+    for x, moves in enumerate(nfa.moves):
+        for on, t in moves:
+            for c in range(len(classes)):
+                if example[c] in on:
+                    steps[x][c] |= closures[t]
+    moving = sum(1 << x for x, moves in enumerate(nfa.moves) if moves)
+    start = closures[first]
     known, order, table = {start: 0}, [start], []
     for states in order:  # grows: subset construction
-        row = []
-        for c in range(len(classes)):
-            to = closure([first, *(t for s in states for on, t in nfa.moves[s] if example[c] in on)])
+        row, left = [start if anywhere else 0] * len(classes), states & moving
+        while left:
+            x = (left & -left).bit_length() - 1
+            left &= left - 1
+            row = list(map(or_, row, steps[x]))
+        for to in row:
             if to not in known:
                 known[to] = len(order)
                 order.append(to)
-            row.append(known[to])
-        table.append(row)
+        table.append([known[to] for to in row])
     moves = np.array(table)
-    hits = np.array([sum({accepts.get(s, 0) for s in states}) for states in order])
-
-    _, block = np.unique(hits, return_inverse=True)  # minimisation: split blocks until all members move alike
-    while True:
+    _, block = np.unique([bool(states & accepting) for states in order], return_inverse=True)
+    while True:  # minimisation: split blocks until all members move alike
         _, finer = np.unique(np.column_stack([block, block[moves]]), axis=0, return_inverse=True)
         if finer.max() == block.max():
             break
         block = finer
-    block = np.argsort(np.argsort([block[0] != b for b in range(block.max() + 1)], kind="stable"), kind="stable")[block]  # the start is 0
-    member = np.array([int(np.flatnonzero(block == b)[0]) for b in range(block.max() + 1)])
-    moves, hits, n = block[moves[member]], hits[member], len(classes)
-    resets = (moves == 0).all(axis=0)[byte_class]
-    return Automaton(byte_class, (moves * n).astype(np.int32).ravel(), np.repeat(hits, n).astype(np.uint8), n, resets)
+    block = np.argsort(np.argsort(np.arange(block.max() + 1) != block[0], kind="stable"), kind="stable")[block]  # the start is 0
+    _, member = np.unique(block, return_index=True)
+    return block[moves[member]][:, byte_class], np.array([bool(order[m] & accepting) for m in member])
+
+
+@cache
+def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
+    """All rules in one automaton, its states being what the rules' automata reach together. Those are minimal and each has
+    a bit of its own in `hits`, so two states of the whole never behave alike."""
+    single = [_rule_automaton(rule, True, True) for rule in rules]
+    _, byte_class = np.unique(np.concatenate([moves for moves, _ in single]), axis=1, return_inverse=True)
+    _, example = np.unique(byte_class, return_index=True)
+    radix = np.cumprod([1, *(len(moves) for moves, _ in single[:-1])])
+    known, table, new = np.zeros(1, np.int64), [], np.zeros(1, np.int64)
+    rows: list[np.ndarray] = []
+    while len(new):
+        to = sum(moves[new // r % len(moves)][:, example].astype(np.int64) * r for (moves, _), r in zip(single, radix, strict=True))
+        rows.append(new)
+        table.append(to)
+        new = np.setdiff1d(to, known)
+        known = np.union1d(known, new)
+    order = np.concatenate(rows)  # the start comes first
+    place = np.argsort(order)
+    moves = place[np.searchsorted(order[place], np.concatenate(table))]
+    hits = sum(accepts[order // r % len(accepts)].astype(np.uint8) << k for k, ((_, accepts), r) in enumerate(zip(single, radix, strict=True)))
+    n = len(example)
+    return Automaton(byte_class.astype(np.uint8), (moves * n).astype(np.int32).ravel(), np.repeat(hits, n).astype(np.uint8), n, (moves == 0).all(axis=0)[byte_class])
 
 
 LANE = 2048
@@ -217,20 +264,60 @@ def scan(dfa: Automaton, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts, out
 
 
-def spans_of(text: str, rules: tuple[Rule, ...], mask: int) -> list[tuple[int, int, int]]:
-    """(start, rank of kind, end) of the exact matches of the rules in `mask`, in code points, by start and kind."""
-    out = []
+@dataclass(frozen=True)
+class Matcher:
+    """A rule's matches from one place on: transitions by state and byte, and the states that accept. State 0 is dead."""
+
+    first: int
+    move: list[list[int]]
+    accepts: list[bool]
+    begins: np.ndarray  # bytes that can begin a match
+
+    @staticmethod
+    def of(rule: Rule, reported: bool) -> Matcher:
+        moves, accepts = _rule_automaton(rule, reported, False)
+        dead = np.flatnonzero((moves == np.arange(len(moves))[:, None]).all(axis=1) & ~accepts)
+        order = np.concatenate([dead, np.setdiff1d(np.arange(len(moves)), dead)])  # the dead state first
+        place = np.argsort(order)
+        moves = place[moves[order]]
+        first = int(place[0])
+        return Matcher(first, moves.tolist(), accepts[order].tolist(), moves[first] > 0)
+
+    def longest(self, data: bytes, at: int) -> int:
+        """The end of the longest match that begins at `at`, or -1."""
+        state, move, accepts, end = self.first, self.move, self.accepts, -1
+        for p in range(at, len(data)):
+            state = move[state][data[p]]
+            if not state:
+                break
+            if accepts[state]:
+                end = p + 1
+        return end
+
+
+@cache
+def _matchers(rule: Rule) -> tuple[Matcher, Matcher]:
+    return Matcher.of(rule, False), Matcher.of(rule, True)
+
+
+def spans_of(data: np.ndarray, rules: tuple[Rule, ...], mask: int) -> list[tuple[int, int, int]]:
+    """(start, rank of kind, end) of the matches of the rules in `mask` that are reported, in bytes, by start and kind."""
+    out, raw = [], data.tobytes()
     for k, rule in enumerate(rules):
         if mask >> k & 1:
-            for m in _compiled(rule).finditer(text):
-                if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                    out.append((m.start(), k, m.end()))
+            every, reported = _matchers(rule)
+            behind = 0
+            for start in np.flatnonzero(every.begins[data]).tolist():
+                if start >= behind and (end := every.longest(raw, start)) > 0:
+                    behind = end
+                    if reported.longest(raw, start) == end:
+                        out.append((start, k, end))
     return sorted(out)
 
 
-@cache
-def _compiled(rule: Rule) -> re.Pattern:
-    return re.compile(rule.pattern, re.ASCII | (re.IGNORECASE if rule.any_case else 0))
+def _points(data: np.ndarray) -> int:
+    """Code points of UTF-8 bytes."""
+    return int(np.count_nonzero((data & 0xC0) != 0x80))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -239,7 +326,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Matches of a kind are leftmost and don't overlap; matches that are too short are dropped after matching. Null and
     empty texts have no spans, repeated rows give repeated rows, an empty table gives an empty one, other columns are not read.
     """
-    dfa = compile_rules(rules)
+    dfa = compile_rules(rules)  # once for each driver; the tasks get its arrays
     key = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,28 +335,16 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             data, offsets = utf8(batch.column(1))
             rows: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for i, j in blocks(offsets, BLOCK):
-                part = data[offsets[i] : offsets[j]]
+                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 cuts, found = scan(dfa, part)
-                masks: dict[int, int] = {}
-                for lane in np.flatnonzero(found):
-                    lo = int(np.searchsorted(offsets[i : j + 1], offsets[i] + cuts[lane], "right")) - 1
-                    hi = int(np.searchsorted(offsets[i : j + 1], offsets[i] + cuts[lane + 1], "left"))
-                    for d in range(i + lo, i + hi):
-                        masks[d] = masks.get(d, 0) | int(found[lane])
-                for d, mask in masks.items():
-                    text = data[offsets[d] : offsets[d + 1]].tobytes().decode()
-                    rows[d] = [{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in spans_of(text, rules, mask)]
+                for lane in np.flatnonzero(found).tolist():
+                    a, b = int(cuts[lane]), int(cuts[lane + 1])
+                    for d in range(int(np.searchsorted(own, a, "right")) - 1, int(np.searchsorted(own, b, "left"))):
+                        lo, hi = max(a, int(own[d])), min(b, int(own[d + 1]))
+                        if spans := spans_of(part[lo:hi], rules, int(found[lane])):
+                            shift = _points(part[own[d] : lo])
+                            within = part[lo:hi]
+                            rows[i + d] += [{"kind": rules[k].kind, "start": shift + _points(within[:s]), "end": shift + _points(within[:e])} for s, k, e in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span)], ["id", "spans"])
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {key}, spans array<struct<kind:string,start:bigint,end:bigint>>")
-
-
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
-
-
-def brute_force(text: str | None) -> tuple[str, str]:
-    """sha256 of the base spans and all spans, by matching every rule over the text."""
-    found = [(RULES[k].kind, s, e) for s, k, e in spans_of(text or "", RULES, (1 << len(RULES)) - 1)]
-    base = [x for x in found if x[0] in {r.kind for r in RULES[:BASE]}]
-    return sha256(joined(base).encode()).hexdigest(), joined(found)
