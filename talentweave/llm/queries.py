@@ -35,7 +35,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that the mix of all sources takes."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("p").alias("inclusion"), F.col("quotient").alias("pareto_quotient"))
 
 
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_elias_fano_select_and_all():
         for top in (0, 1, 50, 10**6, 10**12):
             values = np.array(sorted(r.randrange(top + 1) for _ in range(n)), np.int64)
             ef = tokenids.EliasFano(n, *tokenids.EliasFano.encode(values))
-            assert ef.all().tolist() == values.tolist()
+            assert [ef.select(k) for k in range(len(values))] == values.tolist()
             assert [ef.select(k) for k in range(n)] == values.tolist()
 
 
@@ -57,7 +57,8 @@ def test_blocks_round_trip(spark, block_ids):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = tokenids.read_blocks(Scratch(spark, "t").save(tokenids.encode_blocks(docs, VOCABULARY, block_ids=block_ids), "b")).collect()
     want, start = [], 0
-    for key, t in sorted(((-(1 << 63) if k is None else k, t or "") for k, t in rows)):
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()  # the order of rows of one id
+    for key, _, t in sorted(((-(1 << 63) if k is None else k, h, t or "") for k, h, t in hashed)):
         ids = [*tokenids.ids_of(VOCABULARY, t), 1]
         want.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -105,6 +106,40 @@ def test_mix_meets_its_targets(spark, seed):
     assert again == {(x.id, x.copies) for x in got}
 
 
+def test_inclusion_rates_are_unequal_and_met(spark):
+    """Over many seeds each document gets its expected copies, which fall with its size, and each sample has its words."""
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, "w " * r.choice([2, 2, 2, 40, 40, 700]), "ab"[i % 2]) for i in range(240)], "doc_id long, text string, source string").cache()
+    rounds, sums, chance = 12, {}, {}
+    for seed in range(rounds):
+        for x in mixing.mix(docs, Scratch(spark, "t"), seed=f"s{seed}").collect():
+            sums.setdefault((x.source, x.size), []).append(x.copies)
+            chance[x.source, x.size] = x.p
+            assert x.quotient is None or x.quotient > 0
+    rate = {k: sum(v) / len(v) for k, v in sums.items()}
+    for source in "ab":
+        assert rate[source, 2] > rate[source, 40] > rate[source, 700]
+    words = {s: sum(len(t.split()) for _, t, x in docs.collect() if x == s) for s in "ab"}
+    target = brute_targets(words)
+    for (source, size), mean in rate.items():  # the expected copies: c * weight, at most 3
+        weight = lambda n: 16 - min(12, n.bit_length())
+        groups = {n: sum(len(t.split()) for _, t, x in docs.collect() if x == source and len(t.split()) == n) for n in (2, 40, 700)}
+        low, high = 0.0, 10.0
+        for _ in range(60):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(w * min(3, c * weight(n)) for n, w in groups.items()) < target[source] else (low, c)
+        expected = min(3, low * weight(size))
+        assert chance[source, size] == pytest.approx(expected % 1, abs=1e-6) or expected == 3
+        assert mean == pytest.approx(expected, abs=0.12)
+
+
+def test_copies_of_clashing_columns(spark):
+    names = ["words", "copies", "rows", "row", "u", "cell", "weight", "size", "id", "target"]
+    docs = spark.createDataFrame([(k, f"a b {'c ' * k}", "s", *range(10)) for k in range(5)] * 2, f"doc_id long, text string, source string, {', '.join(f'{n} int' for n in names)}")
+    mixed = mixing.copies_of(docs, Scratch(spark, "t"))
+    assert mixed.columns == docs.columns and mixed.count() == 10
+
+
 def test_copies_keep_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 9), (1, "a b", "s", 9), (2, "c", None, 1), (3, None, "s", 2)], "doc_id long, text string, source string, size int")
     mixed = mixing.copies_of(docs, Scratch(spark, "t"))
