@@ -29,7 +29,7 @@ from .components import components
 from .ordering import NO_ID, order_key
 from .scratch import Scratch
 from .textbatch import blocks, utf8
-from .triejoin import cross_links, link_roots, linked
+from .triejoin import link_roots, linked
 from .wordgrams import shingles, words
 
 #: Elements of a bucket that one task sorts, about.
@@ -261,12 +261,11 @@ def _pivot_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_links(table: pa.Table) -> pa.Table:
-    asks = table.column("asks").to_numpy()
-    reps = table.column("rep").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-    q, s = np.flatnonzero(asks), np.flatnonzero(~asks)
-    pairs = cross_links([sets[k] for k in q], [sets[k] for k in s]) if len(q) and len(s) else []
-    return pa.table({"a": pa.array([int(reps[q[i]]) for i, _ in pairs], pa.int64()), "b": pa.array([int(reps[s[j]]) for _, j in pairs], pa.int64())})
+    """(a, b) links that span the components of the sets that meet in a block."""
+    table = table.sort_by([("rep", "ascending"), ("asks", "ascending")])
+    reps, place = np.unique(table.column("rep").to_numpy(), return_index=True)  # a set may be on both sides
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("items").take(pa.array(place)).to_pylist()]
+    return pa.table({"a": pa.array(reps, pa.int64()), "b": pa.array(reps[link_roots(sets)], pa.int64())})
 
 
 def _large_links(large: DataFrame, sizes: DataFrame, scratch: Scratch, most: int) -> DataFrame:
