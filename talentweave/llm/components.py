@@ -13,7 +13,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
 
     Each round hangs larger neighbours onto the smallest neighbour of a node, then does so for smaller ones, until every
     edge leads to a root. Minima are aggregated before they are joined back, so a node with many neighbours needs no task
-    that holds them all.
+    that holds them all. The number of rounds grows with the logarithm of the nodes; a state that hasn't settled after
+    `rounds` is an error, never a result.
     """
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.save(ordered(edges), f"{name}_0")
@@ -33,5 +34,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 60)
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = now.select("b").distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))

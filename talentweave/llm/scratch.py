@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder of this machine only where none is set (tests)."""
+    """`spark.checkpoint.dir` of the session. Where none is set, a local session (tests) gets a temporary folder; on a cluster
+    that is an error, as executors don't share the driver's folders."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir", None)
     if not known:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         known = "file://" + tempfile.mkdtemp(prefix="shared-")
         context.setCheckpointDir(known)
     return known
