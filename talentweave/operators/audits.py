@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def with_grades(roles: DataFrame, grades: DataFrame) -> DataFrame:
     """Roles with their grade's display label and cohort; labels are few and broadcast, unknown ones give null."""
-    return roles.join(F.broadcast(grades), "rung", "left")
+    return roles.join(grades, "rung", "left")
 
 
 def with_rank_one(roles: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def with_rank_one(roles: DataFrame, mappings: DataFrame) -> DataFrame:
 
 def with_primary_name(roles: DataFrame, mappings: DataFrame, nodes: DataFrame) -> DataFrame:
     """Roles with the name of their first mapped code, one row each: the scalar lookup is aggregated before the join."""
-    named = mappings.join(F.broadcast(nodes.select("code", "name")), "code")
+    named = mappings.join(nodes.select("code", "name"), "code")
     first = named.groupBy(F.col("position_id").alias("role_id")).agg(F.min_by("name", F.struct("mapping_rank", "id")).alias("primary_name"))
     return roles.join(first, "role_id", "left")
 
@@ -32,7 +32,7 @@ def neighbour_audit(edges: DataFrame, roles: DataFrame) -> DataFrame:
 
 def activity_audit(roles: DataFrame, links: DataFrame, statistics: DataFrame) -> DataFrame:
     """Roles, their activities, and the activities' shares where they are known."""
-    return roles.select("role_id", "title").join(links, "role_id").join(F.broadcast(statistics.select("activity", "share")), "activity", "left")
+    return roles.select("role_id", "title").join(links, "role_id").join(statistics.select("activity", "share"), "activity", "left")
 
 
 def capability_audit(roles: DataFrame, capabilities: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def extract(path: str, blocks: Iterator[str | list[list[str]]]) -> dict:
                     capabilities.append({"kind": kind, "sequence": len(capabilities) + 1, "grouping": group, "name": m[1] if m else name, "code": m[2] if m else "", "level": level, "indicators": notes})
             elif len(cells) > 1:
                 fields.append({"sequence": len(fields) + 1, "name": cells[0], "value": cells[1]})
-    sections = {k: "\n".join(v) for k, v in lines.items() if k not in LISTS and k != "front"}
+    sections = {k: "\n".crossJoin(v) for k, v in lines.items() if k not in LISTS and k != "front"}
     items = [{"section": s, "sequence": k, "text": t} for s in LISTS for k, t in enumerate(_rejoin(lines.get(s, [])), 1)]
     have = {"title": title, "key_relationships": relations, "capabilities": capabilities, **sections, **{s: lines.get(s) for s in LISTS}}
     issues = [{"issue_type": "Missing mandatory content", "field": label, "severity": "High"} for label, key in REQUIRED if not have.get(key)]
@@ -206,5 +206,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 def best_framework(names: DataFrame, signatures: DataFrame) -> DataFrame:
     """(doc, framework, shared): the framework whose signature shares most names with a document, the first on ties."""
-    hits = names.distinct().join(F.broadcast(signatures), "name").groupBy("doc", "framework", "place").agg(F.count("*").alias("shared"))
+    hits = names.distinct().join(signatures, "name").groupBy("doc", "framework", "place").agg(F.count("*").alias("shared"))
     return hits.groupBy("doc").agg(F.max_by(F.struct("framework", "shared"), F.struct("shared", -F.col("place"))).alias("x")).select("doc", "x.*")

@@ -11,7 +11,7 @@ def activity_rarity(links: DataFrame, roles: DataFrame) -> DataFrame:
     active = roles.where("status = 'active'").agg(F.count("*").alias("active_roles"))
     counts = links.groupBy("activity").agg(F.countDistinct("role_id").alias("role_count"))
     share = F.round(F.col("role_count") / F.col("active_roles"), 12)
-    rows = counts.crossJoin(F.broadcast(active)).withColumn("share", F.when(F.col("active_roles") > 0, share).otherwise(0.0))
+    rows = counts.crossJoin(active).withColumn("share", F.when(F.col("active_roles") > 0, share).otherwise(0.0))
     return rows.select("activity", "role_count", "share", F.round(1 - F.col("share"), 12).alias("rarity"))
 
 
@@ -38,7 +38,7 @@ def capability_rarity(capabilities: DataFrame, roles: DataFrame) -> DataFrame:
     """(capability, role_count, rarity = 1 - n / N)."""
     total = roles.agg(F.count("*").alias("n_roles"))
     counts = capabilities.groupBy("capability").agg(F.countDistinct("role_id").alias("role_count"))
-    return counts.crossJoin(F.broadcast(total)).select("capability", "role_count", F.round(1 - F.col("role_count") / F.col("n_roles"), 6).alias("rarity"))
+    return counts.crossJoin(total).select("capability", "role_count", F.round(1 - F.col("role_count") / F.col("n_roles"), 6).alias("rarity"))
 
 
 def level_rules(assignments: DataFrame) -> DataFrame:
@@ -66,4 +66,4 @@ def cluster_weights(links: DataFrame, roles: DataFrame) -> DataFrame:
     total = roles.agg(F.count("*").alias("n_roles"))
     counts = links.groupBy("cluster").agg(F.countDistinct("role_id").alias("roles"))
     weight = F.greatest(F.lit(0.25), F.log(F.col("n_roles") / F.greatest(F.lit(1), F.col("roles"))))
-    return counts.crossJoin(F.broadcast(total)).select("cluster", "roles", F.round(weight, 6).alias("weight"))
+    return counts.crossJoin(total).select("cluster", "roles", F.round(weight, 6).alias("weight"))

@@ -62,11 +62,11 @@ def neighbours(roles: DataFrame, links: DataFrame, capabilities: DataFrame, w: s
     `rounded` ranks on 12 decimals, so that another engine with another order of summation gives the same ranks; values are shown with `digits` decimals.
     """
     rarity = activity_rarity(links, roles).select("activity", (1 - F.col("share")).alias("weight"))
-    items = links.select("role_id", "activity").distinct().join(F.broadcast(rarity), "activity", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    frame = roles.join(F.broadcast(grade_ranks(roles)), "rung", "left").select("role_id", "sub_family", "grade_rank")
+    items = links.select("role_id", "activity").distinct().join(rarity, "activity", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    frame = roles.join(grade_ranks(roles), "rung", "left").select("role_id", "sub_family", "grade_rank")
     pairs = all_pairs(frame)
     pairs = pairs.join(shared_weight(items, "activity"), ["a_role_id", "b_role_id"], "left").join(readiness(capability_profile(capabilities)), ["a_role_id", "b_role_id"], "left")
-    pairs = pairs.join(F.broadcast(_totals(items, "a")), "a_role_id", "left").join(F.broadcast(_totals(items, "b")), "b_role_id", "left")
+    pairs = pairs.join(_totals(items, "a"), "a_role_id", "left").join(_totals(items, "b"), "b_role_id", "left")
     delta = F.col("b_grade_rank") - F.col("a_grade_rank")
     same = F.coalesce(F.col("a_sub_family") == F.col("b_sub_family"), F.lit(False))
     pairs = pairs.select(
@@ -116,12 +116,12 @@ def move_scores(roles: DataFrame, links: DataFrame, adjacency: DataFrame, w: sco
     """Score and reasons of every move between active roles; a rung of 0 is the most senior."""
     active = roles.where("status = 'active'")
     rarity = activity_rarity(links, roles).select("activity", F.col("rarity").alias("weight"))
-    items = links.join(active.select("role_id"), "role_id", "left_semi").select("role_id", "activity").distinct().join(F.broadcast(rarity), "activity", "left")
+    items = links.join(active.select("role_id"), "role_id", "left_semi").select("role_id", "activity").distinct().join(rarity, "activity", "left")
     items = items.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     pairs = all_pairs(active.select("role_id", "family", "sub_family", "specialisation", "rung"))
-    pairs = pairs.join(shared_weight(items, "activity"), ["a_role_id", "b_role_id"], "left").join(F.broadcast(_totals(items, "a")), "a_role_id", "left").join(F.broadcast(_totals(items, "b")), "b_role_id", "left")
+    pairs = pairs.join(shared_weight(items, "activity"), ["a_role_id", "b_role_id"], "left").join(_totals(items, "a"), "a_role_id", "left").join(_totals(items, "b"), "b_role_id", "left")
     tiers = adjacency.select(F.col("source").alias("a_family"), F.col("target").alias("b_family"), "tier")
-    pairs = pairs.join(F.broadcast(tiers), ["a_family", "b_family"], "left")
+    pairs = pairs.join(tiers, ["a_family", "b_family"], "left")
     same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
     tier = F.when(~same("family"), F.col("tier"))
     delta = F.col("a_rung") - F.col("b_rung")
@@ -184,7 +184,7 @@ def move_readiness(roles: DataFrame, links: DataFrame, adjacency: DataFrame, map
         F.count("*").alias("roles"), F.count("linked").alias("with_activities"), F.count("family").alias("with_family"), F.count("rung").alias("with_rung"), F.countDistinct("family").alias("families")
     )
     cells = adjacency.agg(F.count("*").alias("adjacency_cells"))
-    rows = counts.crossJoin(F.broadcast(cells))
+    rows = counts.crossJoin(cells)
     blockers = F.array_compact(
         F.array(
             F.when(F.col("with_activities") == 0, "no_activities"),

@@ -109,3 +109,9 @@ def import_status(mappings: DataFrame) -> DataFrame:
         F.countDistinct(F.when(truthy(F.col("validated")), F.col("position_id"))).alias("positions_validated"),
         F.count_if(F.col("mapping_rank") == 1).alias("primary_mappings"),
     )
+
+
+def of_active_batch(rows: DataFrame, batches: DataFrame) -> DataFrame:
+    """Rows (batch_id) of the active import batches, with the batch's source."""
+    active = batches.where("is_active").select(F.col("id").alias("batch_id"), "source")
+    return rows.join(active, "batch_id")

@@ -22,7 +22,7 @@ def role_payloads(roles: DataFrame, links: DataFrame, capabilities: DataFrame, e
     for p in parts:
         rows = rows.join(p, "role_id", "left")
     if paths is not None:
-        rows = rows.join(F.broadcast(paths), "code", "left")
+        rows = rows.join(paths, "code", "left")
     manager = F.col("title").rlike(r"(?i)\b(manager|director|chief|lead)\b")
     shown = [c for c in rows.columns if c != "role_id"]
     return rows.select("role_id", F.to_json(F.struct(F.col("role_id"), *shown, manager.alias("is_manager"))).alias("payload"))
@@ -34,16 +34,16 @@ def explorer_summary(roles: DataFrame) -> DataFrame:
 
 def reference_tables(roles: DataFrame, links: DataFrame, capabilities: DataFrame, edges: DataFrame, adjacency: DataFrame, families: DataFrame) -> dict[str, DataFrame]:
     """The tables of the explorer's reference contract; the tier of unknown pairs is 2 there, and -1 on the diagonal."""
-    pairs = families.select(F.col("family").alias("source")).crossJoin(F.broadcast(families.select(F.col("family").alias("target"))))
+    pairs = families.select(F.col("family").alias("source")).crossJoin(families.select(F.col("family").alias("target")))
     tier = F.when(F.col("source") == F.col("target"), -1).otherwise(F.coalesce("tier", F.lit(2)))
     total = roles.agg(F.count("*").alias("n"))
-    idf = capabilities.groupBy("capability").agg(F.countDistinct("role_id").alias("roles")).crossJoin(F.broadcast(total))
+    idf = capabilities.groupBy("capability").agg(F.countDistinct("role_id").alias("roles")).crossJoin(total)
     return {
         "roles": roles,
         "edges": edges.select("role_id", "neighbour_role_id", F.bround("score", 4).alias("score")),
         "activities": links.select("activity").distinct(),
         "rarity": idf.select("capability", F.bround(1 - F.col("roles") / F.col("n"), 3).alias("rarity")),
-        "adjacency": pairs.join(F.broadcast(adjacency), ["source", "target"], "left").select("source", "target", tier.alias("tier")),
+        "adjacency": pairs.join(adjacency, ["source", "target"], "left").select("source", "target", tier.alias("tier")),
     }
 
 
@@ -51,6 +51,6 @@ def published_fan(pools: DataFrame, versions: DataFrame, edges: DataFrame) -> Da
     """(source_role_id, candidate_role_id, place, provisional): the pool of the newest published version, or, while none
     is published, the provisional neighbours, marked as such."""
     newest = versions.where("status = 'published'").agg(F.max("version").alias("version")).where("version is not null")
-    final = pools.join(F.broadcast(newest), "version").select("source_role_id", "candidate_role_id", F.col("rank_default").alias("place"), F.lit(False).alias("provisional"))
+    final = pools.join(newest, "version").select("source_role_id", "candidate_role_id", F.col("rank_default").alias("place"), F.lit(False).alias("provisional"))
     fallback = edges.select(F.col("role_id").alias("source_role_id"), F.col("neighbour_role_id").alias("candidate_role_id"), F.col("neighbour_rank").alias("place"), F.lit(True).alias("provisional"))
     return final.where("place is not null").unionByName(fallback if not newest.head(1) else fallback.limit(0))

@@ -11,7 +11,7 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     text = lambda df: df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in a.columns))
     a, b = text(a), text(b)
     missing, added = a.subtract(b).agg(F.count("*").alias("missing")), b.subtract(a).agg(F.count("*").alias("added"))
-    return missing.crossJoin(F.broadcast(added))
+    return missing.crossJoin(added)
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

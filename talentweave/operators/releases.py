@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import dataset_hash, release_id
+from ..lineage import consecutive, cut
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +30,7 @@ def get_or_create(existing: DataFrame, wanted: DataFrame, name: str, fill: str |
     if fill:
         got = new.select(name, F.col(fill).alias("_fill"))
         out = existing.join(got, name, "left").withColumn(fill, F.coalesce(F.nullif(fill, F.lit("")), F.col("_fill"))).select(existing.columns)
-    fresh = new.join(existing.select(name), name, "left_anti").withColumn("id", F.row_number().over(Window.orderBy(name)).cast("long") + last)
+    fresh = consecutive(new.join(existing.select(name), name, "left_anti"), name, after=last)
     return out.unionByName(fresh.select(existing.columns))
 
 
@@ -66,6 +67,7 @@ class Releases:
 
     def publish(self, tables: dict[str, DataFrame], checks: Iterable = ()) -> str:
         """Writes all tables under an id made of their hashes; each check gets the tables and raises to refuse."""
+        tables = {name: cut(df) for name, df in tables.items()}  # hashed and written from the same rows
         hashes = {name: dataset_hash(df).first()[0] for name, df in tables.items()}
         release = release_id(hashes)
         for name, df in tables.items():
@@ -75,15 +77,18 @@ class Releases:
             check(stored)
         rows = [(release, name, h) for name, h in hashes.items()]
         self.spark.createDataFrame(rows, "release string, name string, hash string").coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest={release}")
-        self.spark.createDataFrame([(release,)], "release string").coalesce(1).write.mode("overwrite").json(f"{self.root}/next")
-        current, fs = self._path("current")
-        fs.delete(current, True)
-        fs.rename(self._path("next")[0], current)
+        path, fs = self._path("pointers")
+        number = 1 + max((int(x.getPath().getName()) for x in fs.listStatus(path)), default=0) if fs.exists(path) else 1
+        self.spark.createDataFrame([(number, release)], "number long, release string").coalesce(1).write.json(f"{self.root}/pointers/{number}")
         return release
 
     def current(self) -> str | None:
-        path, fs = self._path("current")
-        return self.spark.read.json(f"{self.root}/current").first()[0] if fs.exists(path) else None
+        """The release of the last pointer that was written in full; pointers are never deleted, so a crash leaves the old one."""
+        path, fs = self._path("pointers")
+        if not fs.exists(path):
+            return None
+        row = self.spark.read.schema("number long, release string").json(f"{self.root}/pointers/*").orderBy(F.desc("number")).first()
+        return row and row["release"]
 
     def tables(self, release: str, names: Iterable[str]) -> dict[str, DataFrame]:
         return {n: self.spark.read.parquet(f"{self.root}/release={release}/{n}") for n in names}

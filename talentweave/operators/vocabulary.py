@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import consecutive
+
 #: Phrases that one task clusters by average linkage; a larger vocabulary is clustered in parts by BisectingKMeans first.
 CLUSTER_ROWS = 3000
 
@@ -70,7 +72,8 @@ def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
 def clustered(vectors: DataFrame, key: str, target: int) -> DataFrame:
     """(key, cluster): average linkage over cosine distance into min(target, max(2, n / 3)) clusters.
 
-    Above CLUSTER_ROWS rows, BisectingKMeans makes parts of about that size first and the linkage runs within each part.
+    Above CLUSTER_ROWS rows that is approximated in two levels: BisectingKMeans makes parts of about half that size, the
+    linkage makes CLUSTER_ROWS small clusters of them in all, and links their centres down to the number wanted.
     """
     n = vectors.count()
     wanted = min(target, max(2, n // 3))
@@ -84,7 +87,7 @@ def clustered(vectors: DataFrame, key: str, target: int) -> DataFrame:
         rows = model.transform(rows).select(key, "vector", "part")
     else:
         rows = vectors.withColumn("part", F.lit(0))
-    share = max(1, round(wanted / (2 * parts))) if parts > 1 else wanted
+    share = max(1, CLUSTER_ROWS // (2 * parts)) if parts > 1 else wanted
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
@@ -92,7 +95,19 @@ def clustered(vectors: DataFrame, key: str, target: int) -> DataFrame:
 
     kind = vectors.schema[key].dataType.simpleString()
     found = rows.groupBy("part").applyInPandas(within, f"{key} {kind}, part int, local int")
-    return found.select(key, F.concat_ws("-", "part", "local").alias("cluster"))
+    found = found.withColumn("cluster", F.concat_ws("-", "part", "local")).select(key, "cluster")
+    if parts == 1:
+        return found
+    place = F.posexplode("vector").alias("place", "value")
+    mean = found.join(vectors, key).select("cluster", place).groupBy("cluster", "place").agg(F.avg("value").alias("value"))
+    centres = mean.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector"))
+
+    def linked(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cluster")
+        return pd.DataFrame({"cluster": frame["cluster"], "joint": average_linkage(np.vstack(frame["vector"]), wanted)})
+
+    joint = centres.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(linked, "cluster string, joint int")  # CLUSTER_ROWS at most
+    return found.join(joint, "cluster").select(key, F.concat(F.lit("0-"), F.col("joint").cast("string")).alias("cluster"))
 
 
 def build_vocabulary(members: DataFrame) -> DataFrame:
@@ -111,8 +126,9 @@ def build_vocabulary(members: DataFrame) -> DataFrame:
         F.min("n").alias("least"),
         F.max("n").alias("most"),
     )
-    place = F.row_number().over(Window.orderBy(F.desc("raw_count"), "label")) - 1  # a row for each cluster
-    return merged.withColumn("activity_id", F.concat(F.lit("a"), F.lpad(place.cast("string"), 3, "0")))
+    numbered = consecutive(merged, F.desc("raw_count"), F.col("label"), name="place", after=-1)
+    number = F.col("place").cast("string")
+    return numbered.withColumn("activity_id", F.concat(F.lit("a"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop("place")
 
 
 def shortlist(roles: DataFrame, activities: DataFrame, k: int = 60) -> DataFrame:
@@ -120,7 +136,7 @@ def shortlist(roles: DataFrame, activities: DataFrame, k: int = 60) -> DataFrame
     from ..functions.scoring import cosine
 
     v = activities.select("activity_id", F.col("vector").alias("activity_vector"))
-    scored = roles.join(F.broadcast(v)).select("role_id", "activity_id", cosine(F.col("vector"), F.col("activity_vector")).alias("similarity"))
+    scored = roles.crossJoin(v).select("role_id", "activity_id", cosine(F.col("vector"), F.col("activity_vector")).alias("similarity"))
     place = F.row_number().over(Window.partitionBy("role_id").orderBy(F.desc("similarity"), "activity_id"))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
@@ -151,7 +167,7 @@ def vocabulary_usage(links: DataFrame, vocabulary: DataFrame, roles: DataFrame)
     """(activity, role_count, share) of the whole vocabulary, unused activities at 0."""
     total = roles.agg(F.count("*").alias("n"))
     counts = links.groupBy("activity").agg(F.countDistinct("role_id").alias("role_count"))
-    rows = vocabulary.select("activity").join(counts, "activity", "left").crossJoin(F.broadcast(total))
+    rows = vocabulary.select("activity").join(counts, "activity", "left").crossJoin(total)
     return rows.select("activity", F.coalesce("role_count", F.lit(0)).alias("role_count"), F.round(F.coalesce("role_count", F.lit(0)) / F.col("n"), 6).alias("share"))
 
 
@@ -174,10 +190,10 @@ def profile_quality(links: DataFrame, vocabulary: DataFrame) -> DataFrame:
     sizes = sets.agg(F.min("size").alias("least"), F.expr("percentile(size, 0.5)").alias("median"), F.max("size").alias("most"))
     used = links.groupBy("activity").agg(F.countDistinct("role_id").alias("n"))
     unused = vocabulary.join(used, "activity", "left_anti").agg(F.count("*").alias("unused"))
-    total = sums.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(unused))
-    common = used.crossJoin(F.broadcast(sums.select("roles"))).agg(F.count_if(F.col("n") > 0.6 * F.col("roles")).alias("very_common"))
+    total = sums.crossJoin(sizes).crossJoin(unused)
+    common = used.crossJoin(sums.select("roles")).agg(F.count_if(F.col("n") > 0.6 * F.col("roles")).alias("very_common"))
     share = F.round(100 * F.col("distinct_profiles") / F.col("roles"), 6)
-    return total.crossJoin(F.broadcast(common)).withColumn("distinct_percent", share).withColumn("verdict", F.when(share >= 70, "good").otherwise("review"))
+    return total.crossJoin(common).withColumn("distinct_percent", share).withColumn("verdict", F.when(share >= 70, "good").otherwise("review"))
 
 
 def run_summary(assigned_roles: DataFrame) -> DataFrame:

@@ -379,8 +379,7 @@ SIMILAR = f"""{ctes("vectors")}, pairs AS (SELECT q.vec_id AS query_id, v.vec_id
 
 def near_of(d: Domain, k: int) -> DataFrame:
     v = d.vectors()
-    pairs = similarity.similarities(v, v.select("vec_id", "vector")).withColumn("similarity", F.round("similarity", 6))
-    return similarity.top_similar(pairs, k).join(v.select("vec_id", "code", "validated"), "vec_id")
+    return similarity.nearest(v, v, k, 6).join(v.select("vec_id", "code", "validated"), "vec_id")
 
 
 @query(f"WITH {SIMILAR} SELECT query_id, vec_id, CAST(place AS INT) AS place, similarity FROM near WHERE place <= 10")

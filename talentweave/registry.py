@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audits  # noqa: F401  registers its queries
+from .plans import audits, reference, units  # noqa: F401  they register their queries
 from .plans.queries import ORACLES, QUERIES
 
 
