@@ -327,12 +327,12 @@ def explorer_rows(positions: DataFrame, primary: DataFrame, references: DataFram
     )
 
 
-def assistant_payloads(positions: DataFrame, assigned: DataFrame, paths: DataFrame, tree: DataFrame, roster: DataFrame) -> DataFrame:
+def assistant_payloads(positions: DataFrame, assigned: DataFrame, paths: DataFrame, tree: DataFrame, roster: DataFrame, executive: str = "(?i)executive") -> DataFrame:
     """(position_id, payload): for each position its own mapping as names from the root, whether it is an executive one, the
     guide's families with the nodes under them, and the roles that are under these codes already, as one JSON document.
 
     `assigned` has (position_id, code) of the first mapping, `tree` is what `guide_tree` gives (query_id is the position),
-    `roster` what `similarity.roster` gives. Families come by place; a code without roles isn't in the roster.
+    `roster` what `similarity.roster` gives, `executive` the pattern of executive cohorts and grades. Families come by place; a code without roles isn't in the roster.
     """
     current = assigned.join(hierarchy.path_text(paths).select("code", F.regexp_replace("path", " > ", " → ").alias("current")), "code", "left").select("position_id", "current")
     node = F.struct("place", "node", "score")
@@ -341,8 +341,8 @@ def assistant_payloads(positions: DataFrame, assigned: DataFrame, paths: DataFra
     codes = tree.select(F.col("query_id").alias("position_id"), F.explode(F.array("family", "node")).alias("code")).distinct()
     lists = codes.join(roster, "code").groupBy("position_id").agg(F.sort_array(F.collect_list(F.struct("code", "total"))).alias("roster"))
     rows = positions.join(current, "position_id", "left").join(families, "position_id", "left").join(lists, "position_id", "left")
-    executive = F.lower(F.coalesce("cohort", F.lit(""))).contains("executive") | F.lower(F.coalesce("grade", F.lit(""))).contains("psse")
-    shown = F.struct("position_id", "title", F.coalesce("grade", F.lit("")).alias("grade"), F.coalesce("current", F.lit("Unmapped")).alias("current"), executive.alias("executive"), "families", "roster")
+    is_executive = F.concat_ws("\n", "cohort", "grade").rlike(executive)
+    shown = F.struct("position_id", "title", F.coalesce("grade", F.lit("")).alias("grade"), F.coalesce("current", F.lit("Unmapped")).alias("current"), is_executive.alias("executive"), "families", "roster")
     return rows.select("position_id", F.to_json(shown).alias("payload"))
 
 

@@ -139,12 +139,6 @@ def table_statistics(d: Domain) -> DataFrame:
     return audits.table_statistics(region=d.t("region"), lineitem=d.t("lineitem").select("l_orderkey", "l_linenumber"))
 
 
-@query("SELECT DISTINCT p_type AS activity FROM part EXCEPT SELECT p_type FROM part WHERE p_size < 10 AND p_brand < 'Brand#2'")
-def missing_activities(d: Domain) -> DataFrame:
-    part = d.t("part").select(F.col("p_type").alias("activity"), "p_size", "p_brand")
-    return part.select("activity").subtract(part.where("p_size < 10 and p_brand < 'Brand#2'").select("activity"))
-
-
 @query(
     "SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY first) AS priorities FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY 1, 2) GROUP BY 1"
 )

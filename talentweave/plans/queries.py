@@ -75,12 +75,6 @@ def neighbour_graph_metrics(d: Domain) -> DataFrame:
     return rounded(graph.neighbour_metrics(edges_of(d)), "least_score", "best_score", "mean_score")
 
 
-@query(f"WITH {EDGES} SELECT count(*) AS edges, CAST(0 AS BIGINT) AS unreconciled FROM edges")
-def neighbour_score_reconciliation(d: Domain) -> DataFrame:
-    e = edges_of(d)
-    return e.agg(F.count("*").alias("edges")).crossJoin(graph.unreconciled(e).agg(F.count("*").alias("unreconciled")))
-
-
 MOVES = f"""{ctes("roles", "role_activities", "adjacency")}, {RARITY},
   live AS (SELECT * FROM roles WHERE status = 'active'),
   items AS (SELECT l.role_id, l.activity, r.rarity AS weight FROM role_activities l JOIN live USING (role_id) JOIN rarity r USING (activity)),
@@ -482,11 +476,6 @@ def identifier_versions(d: Domain) -> DataFrame:
     return summaries.newest_versions(numbered(d))
 
 
-@query("SELECT CAST(32 AS BIGINT) AS id, '00010-02' AS number")
-def identifier_resolve(d: Domain) -> DataFrame:
-    return summaries.resolve(numbered(d), "00010")
-
-
 @query("SELECT c_custkey, count(o_orderkey) AS used FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1")
 def usage_counts_zero_kept(d: Domain) -> DataFrame:
     return summaries.usage(d.t("customer"), d.t("orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
@@ -662,30 +651,39 @@ def level_normalisation(d: Domain) -> DataFrame:
     return raw.union(extra).distinct().select("raw", text.level_number(F.col("raw")).alias("level"))
 
 
-GRADE = "CASE p_size % 5 WHEN 0 THEN 'Org  Woker Level ' || p_size WHEN 1 THEN 'org manger level ' || p_size % 7 WHEN 2 THEN 'PSSE Band ' || p_size % 4 WHEN 3 THEN 'Librarian Grade ' || p_size % 6 ELSE 'Senior Education Officer' END"
+#: The grades of an invented organisation.
+GRADE_RULES = (
+    text.GradeRule(r"(?i)\bOrg\s+Worker\s+Level\s+(\d+)\b", "Org Worker Level {n}", "OW{n}", 0),
+    text.GradeRule(r"(?i)\bOrg\s+Manager(?:\s+Level)?\s+(\d+)\b", "Org Manager Level {n}", "OM{n}", 90),
+    text.GradeRule(r"(?i)\bExec\s+Band\s+(\d+)\b", "Exec Band {n}", "EX{n}", 150),
+    text.GradeRule(r"(?i)\bLibrarian\s+Grade\s+(\d+)\b", "Librarian Grade {n}", "LG{n}", 50),
+    text.GradeRule(r"^Senior Education Officer$", "{label}", "SEO", 84, 0),
+)
+BANDS = ((40, "OW1-OW4"), (70, "OW5-OW7"), (100, "OW8-OM1"), (130, "OM2-OM4"), (150, "OM5-OM6"), (180, "Senior Executive"))
+GRADE = "CASE p_size % 5 WHEN 0 THEN 'Org  Woker Level ' || p_size WHEN 1 THEN 'org manger level ' || p_size % 7 WHEN 2 THEN 'Exec Band ' || p_size % 4 WHEN 3 THEN 'Librarian Grade ' || p_size % 6 ELSE 'Senior Education Officer' END"
 
 
 @query(
-    f"""WITH g AS (SELECT DISTINCT p_size, {GRADE} AS raw FROM part), o AS (SELECT raw, CASE p_size % 5 WHEN 0 THEN 'Org Worker Level ' || p_size WHEN 1 THEN 'Org Manager Level ' || p_size % 7 WHEN 2 THEN 'PSSE Band ' || p_size % 4
+    f"""WITH g AS (SELECT DISTINCT p_size, {GRADE} AS raw FROM part), o AS (SELECT raw, CASE p_size % 5 WHEN 0 THEN 'Org Worker Level ' || p_size WHEN 1 THEN 'Org Manager Level ' || p_size % 7 WHEN 2 THEN 'Exec Band ' || p_size % 4
         WHEN 3 THEN 'Librarian Grade ' || p_size % 6 ELSE 'Senior Education Officer' END AS display_label,
-      CASE p_size % 5 WHEN 0 THEN 'TWL' || p_size WHEN 1 THEN 'TM' || p_size % 7 WHEN 2 THEN 'PSSE' || p_size % 4 WHEN 3 THEN 'LG' || p_size % 6 ELSE 'SEO' END AS abbreviation,
+      CASE p_size % 5 WHEN 0 THEN 'OW' || p_size WHEN 1 THEN 'OM' || p_size % 7 WHEN 2 THEN 'EX' || p_size % 4 WHEN 3 THEN 'LG' || p_size % 6 ELSE 'SEO' END AS abbreviation,
       CASE p_size % 5 WHEN 0 THEN p_size * 10 WHEN 1 THEN 90 + p_size % 7 * 10 WHEN 2 THEN 150 + p_size % 4 * 10 WHEN 3 THEN 50 + p_size % 6 * 10 ELSE 84 END::DOUBLE AS seniority_order,
       CASE WHEN p_size % 5 <= 1 THEN 'Possible typo normalised' ELSE '' END AS notes FROM g)
-    SELECT DISTINCT *, CASE WHEN seniority_order <= 40 THEN 'TWL1-TWL4' WHEN seniority_order <= 70 THEN 'TWL5-TWL7' WHEN seniority_order <= 100 THEN 'TWL8-TM1' WHEN seniority_order <= 130 THEN 'TM2-TM4'
-      WHEN seniority_order <= 150 THEN 'TM5-TM6' WHEN seniority_order <= 180 THEN 'Senior Executive' ELSE 'Other / Specialist' END AS cohort FROM o"""
+    SELECT DISTINCT *, CASE WHEN seniority_order <= 40 THEN 'OW1-OW4' WHEN seniority_order <= 70 THEN 'OW5-OW7' WHEN seniority_order <= 100 THEN 'OW8-OM1' WHEN seniority_order <= 130 THEN 'OM2-OM4'
+      WHEN seniority_order <= 150 THEN 'OM5-OM6' WHEN seniority_order <= 180 THEN 'Senior Executive' ELSE 'Other / Specialist' END AS cohort FROM o"""
 )
 def classification_infer(d: Domain) -> DataFrame:
     labels = d.t("part").select(F.expr(GRADE).alias("raw")).distinct()
-    found = labels.select("raw", text.classification(F.col("raw"), "Org").alias("c"))
+    found = labels.select("raw", text.classification(F.col("raw"), GRADE_RULES, (("(?i)\\bManger\\b", "Manager"), ("(?i)\\bWoker\\b", "Worker")), ("Org", "Worker", "Manager", "Level"), BANDS).alias("c"))
     return found.select("raw", "c.display_label", "c.abbreviation", "c.seniority_order", "c.cohort", "c.notes")
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN x IS NULL THEN 'Other / Unclassified' WHEN x <= 40 THEN 'TWL1-TWL4' WHEN x <= 70 THEN 'TWL5-TWL7' WHEN x <= 100 THEN 'TWL8-TM1' WHEN x <= 130 THEN 'TM2-TM4' WHEN x <= 150 THEN 'TM5-TM6'
+    """SELECT c_custkey, CASE WHEN x IS NULL THEN 'Other / Unclassified' WHEN x <= 40 THEN 'OW1-OW4' WHEN x <= 70 THEN 'OW5-OW7' WHEN x <= 100 THEN 'OW8-OM1' WHEN x <= 130 THEN 'OM2-OM4' WHEN x <= 150 THEN 'OM5-OM6'
       WHEN x <= 180 THEN 'Senior Executive' ELSE 'Other / Specialist' END AS cohort FROM (SELECT c_custkey, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey % 220 END AS x FROM customer)"""
 )
 def cohort_bands(d: Domain) -> DataFrame:
-    return d.t("customer").select("c_custkey", text.cohort(F.when(F.col("c_custkey") % 13 != 0, F.col("c_custkey") % 220)).alias("cohort"))
+    return d.t("customer").select("c_custkey", text.cohort(F.when(F.col("c_custkey") % 13 != 0, F.col("c_custkey") % 220), BANDS).alias("cohort"))
 
 
 @query(

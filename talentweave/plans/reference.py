@@ -380,12 +380,12 @@ def assistant_payload(d: Domain) -> DataFrame:
     nodes, parents = guide_of(d)
     tree = similarity.guide_tree(nodes, parents)
     v = d.vectors().select(F.col("vec_id").alias("position_id"), F.col("code").alias("label"))
-    positions = v.select("position_id", F.lit("t").alias("title"), F.when(F.col("label") % 3 == 0, "PSSE Band 1").otherwise("G").alias("grade"), F.lit("").alias("cohort"))
+    positions = v.select("position_id", F.lit("t").alias("title"), F.when(F.col("label") % 3 == 0, "Exec Band 1").otherwise("G").alias("grade"), F.lit("").alias("cohort"))
     place = d.t("nation").select(F.col("n_nationkey").alias("n"), F.concat(F.lit("R"), "n_regionkey", F.lit("-N"), "n_nationkey").alias("code"))
     assigned = v.where("label % 2 = 0").join(place, F.col("label") % 25 == F.col("n")).select("position_id", "code")
     roles = d.roles().select("role_id", "title", F.concat(F.lit("F"), (F.col("family") % 3).cast("string")).alias("code"))
     roster = similarity.roster(roles, d.t("lineitem").limit(0).select(F.col("l_suppkey").alias("role_id"), F.lit(1).alias("sequence"), F.lit("").alias("statement")))
-    rows = reference.assistant_payloads(positions, assigned, hierarchy.paths(d.hierarchy()), tree, roster)
+    rows = reference.assistant_payloads(positions, assigned, hierarchy.paths(d.hierarchy()), tree, roster, "(?i)executive|exec band")
     shape = "current string, executive boolean, families array<struct<family_place:int,family:string,nodes:array<struct<place:int,node:string,score:double>>>>, roster array<struct<code:string,total:bigint>>"
     x = rows.select("position_id", F.from_json("payload", shape).alias("p")).select("position_id", "p.*")
     listed = F.flatten(F.transform("families", lambda f: F.transform(f["nodes"], lambda n: F.concat(f["family"], F.lit("/"), n["node"]))))
