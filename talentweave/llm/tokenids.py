@@ -14,6 +14,7 @@ run again). A block holds consecutive documents in id order:
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Ids of a block at most, but for a longer document.
 BLOCK_IDS = 1 << 20
-_WORDS = 400_000
+#: Rows of one id that go to one shard at most.
+SAME_ID = 10_000
+_WORDS = 500_000
 _TEXT = 1 << 20
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, n_docs bigint, n_ids bigint, low_bits int, low binary, high binary, width int, ids binary, doc_ids binary"
@@ -79,12 +82,6 @@ class EliasFano:
         word = int.from_bytes(self.low[first >> 3 : (first + self.bits + 7) >> 3].tobytes(), "little")
         return word >> (first & 7) & ((1 << self.bits) - 1)
 
-    def all(self) -> np.ndarray:
-        """Every value, as `select` gives them."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits).astype(np.int64)
-        return (ones - np.arange(self.n)) << self.bits | low @ (1 << np.arange(self.bits, dtype=np.int64))
-
 
 @cache
 def _tokenizer(path: str):
@@ -103,63 +100,95 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
+#: What the encoder relies on, as the vocabulary's file states it: fixed values.
+_RULES = {
+    "normalizers": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizers": ["Split", "ByteLevel"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "model": ("BPE", "</w>"),
+}
+
+
+def _check_rules(tokenizer) -> None:
+    """Refuses a vocabulary whose words can't be put together as `WordEncoder` does."""
+    import json
+
+    file = json.loads(tokenizer.to_str())
+    steps = lambda part, name: [x["type"] for x in (part or {}).get(name, [])]
+    found = {
+        "normalizers": steps(file["normalizer"], "normalizers"),
+        "pre_tokenizers": steps(file["pre_tokenizer"], "pretokenizers"),
+        "split": ((file["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex"),
+        "model": (file["model"]["type"], file["model"].get("end_of_word_suffix")),
+    }
+    if found != _RULES:
+        raise ValueError(f"the vocabulary has other rules: {found}")
+
+
+class _Pieces(dict):
+    """Ids of pieces, learned when first asked for. A full table becomes the older one, which frequent pieces come back from."""
+
+    def __init__(self, encoder: WordEncoder) -> None:
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encoder.piece(piece)
+        if len(self) > _WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = found
+        return found
+
+
+def _of(category: str) -> str:
+    """The characters below U+0130 of a general category, for a character class."""
+    return "".join(c for c in map(chr, range(0x130)) if unicodedata.category(c).startswith(category))
+
+
 class WordEncoder:
     """Ids of whole texts, put together from the ids of their pieces between ASCII white space.
 
     This tokenizer drops white space and none of its rules looks across it, so the ids of a text are the ids of its pieces
-    one after the other; pieces repeat, so each is encoded once for as long as it stays in a cache of bounded size. A full
-    stop or comma behind letters alone is a piece of its own for the same reason, if they are still letters alone when
-    normalised and lower-cased: a combining mark at the end, as of U+0130, would be one word with the stop.
+    one after the other; pieces repeat, so each is encoded once for as long as it stays in a cache of bounded size. Pieces
+    of visible characters below U+0130, which its normalisation only lower-cases, are cut into words by its own pattern;
+    all others, and those that may hold a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
-        self.stops = {s: self._whole([s.decode()])[0] for s in (b".", b",")}
-
-    def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    @staticmethod
-    def _letters(core: str) -> bool:
-        """Letters alone, before and after the tokenizer's normalisation."""
-        return core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.known) > _WORDS:
-            self.known.clear()
-        plain, other, stopped = [], [], []
-        cores: set[bytes] = set()
-        for piece in pieces:
-            if piece[-1:] in self.stops and self._letters(piece[:-1].decode()):
-                stopped.append(piece)
-                cores.add(piece[:-1])
-        for piece in (pieces | cores).difference(stopped):
-            if piece not in self.known:
-                text = piece.decode()
-                simple = text.isalpha() and max(text) < "İ" and unicodedata.is_normalized("NFC", text)
-                (plain if simple else other).append((piece, text))
-        tokenize, letters = self.tokenizer.model.tokenize, _byte_letters()
-        for piece, text in plain:  # letters alone are one word for the model
-            self.known[piece] = np.array([t.id for t in tokenize(text.lower().encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-        for i in range(0, len(other), 10_000):
-            part = other[i : i + 10_000]
-            for (piece, _), ids in zip(part, self._whole([x for _, x in part]), strict=True):
-                self.known[piece] = ids
-        for piece in stopped:
-            self.known[piece] = self.known[piece[:-1]] + self.stops[piece[-1:]]
+        _check_rules(self.tokenizer)
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.simple = re.compile("[!-~¡-į]+").fullmatch
+        self.words = re.compile(_RULES["split"].replace(r"\p{L}", _of("L")).replace(r"\p{N}", _of("N"))).findall
+        self.letters = _byte_letters()
+        self.known = _Pieces(self)
+        self.of_word: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word as the pattern cuts it, in lower case."""
+        found = self.of_word.get(word)
+        if found is None:
+            if len(self.of_word) > _WORDS:
+                self.of_word.clear()
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.of_word[word] = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(shown)])
+        return found
+
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a piece."""
+        if piece.isalpha():  # of ASCII
+            return self._word(piece.lower().decode())
+        text = piece.decode()
+        if self.simple(text) and "<|" not in text:
+            return b"".join(map(self._word, self.words(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [x.split() for x in texts]
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            before = len(self.known)
-            self._learn(missing)
-            if before > _WORDS:  # the cache was emptied
-                self._learn(set().union(*split).difference(self.known))
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        return [b"".join(map(get, x.split())) for x in texts]
 
 
 @cache
@@ -182,10 +211,15 @@ def encode_blocks(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """Blocks of all rows in ascending id order: shards are ranges of ids, so the texts are shuffled once.
 
     A null text is empty, so only the end id is written; rows without an id come first, under the id of the smallest
-    64-bit integer; rows of the same id follow each other; an empty table has no blocks.
+    64-bit integer; rows of the same id follow each other by a hash of their texts, so one id may fill many shards; an
+    empty table has no blocks; other columns are not read.
     """
     key = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
-    ordered = docs.select(key.alias("id"), docs[text_col].alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(key.alias("id"), docs[text_col].alias("text"))
+    ranges, order = ["id"], ["id", F.xxhash64("text"), "text"]
+    if rows.groupBy("id").count().where(F.col("count") > SAME_ID).head(1):  # ids alone; ranges by text need another scan of it
+        ranges = order[:2]
+    ordered = rows.repartitionByRange(*ranges).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -224,11 +258,16 @@ def read_blocks(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 base, first, n, bits, low, high, width, ids, keys = (batch.column(k)[row].as_py() for k in range(9))
-                ends = EliasFano(n, bits, low, high).all()
-                starts = np.concatenate([[0], ends[:-1]])
-                words = np.frombuffer(ids, f"<u{width}")
-                sums = [zlib.crc32(words[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(starts + base + first), pa.array(ends - starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                ends = EliasFano(n, bits, low, high)
+                words = memoryview(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes())
+                starts, sizes, sums, start = [], [], [], 0
+                for k in range(n):
+                    end = ends.select(k)
+                    starts.append(base + first + start)
+                    sizes.append(end - start)
+                    sums.append(zlib.crc32(words[4 * start : 4 * end]))
+                    start = end
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), *(pa.array(x, pa.int64()) for x in (starts, sizes, sums))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     columns = ["before", "first", "n_docs", "low_bits", "low", "high", "width", "ids", "doc_ids"]
     return stored.join(before, "shard").select(columns).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

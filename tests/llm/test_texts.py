@@ -46,15 +46,32 @@ def test_stops_behind_letters_that_end_in_a_mark():
     docs = ["BELGESİ.", "HİZMETLERİ,", "\u0958,", "\u0915\u093c.", *(f"{a}{c}{stop}" for c in letters for a in ("", "b") for stop in ".,")]
     encoder = tokenids.WordEncoder(VOCABULARY)
     got = encoder.encode([d.encode() for d in docs])
-    want = encoder._whole(docs)
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(docs, add_special_tokens=False)]
     assert [d for d, a, b in zip(docs, got, want, strict=True) if a != b] == []
 
 
-@pytest.mark.parametrize("block_ids", [1, 40, 1 << 20])
-def test_blocks_round_trip(spark, block_ids):
+def test_simple_pieces_of_all_characters_and_a_full_cache(monkeypatch):
+    r = random.Random(6)
+    some = [chr(c) for c in range(33, 0x250) if chr(c).strip()] + ["'s", "'LL", "<|", "|>", "<|endoftext|>", "‌", "\u0301"]
+    docs = ["".join(r.choice(some) for _ in range(r.randrange(1, 9))) for _ in range(30_000)]
+    monkeypatch.setattr(tokenids, "_WORDS", 500)
+    encoder = tokenids.WordEncoder(VOCABULARY)
+    want = [np.array(x.ids, "<u4").tobytes() for x in encoder.tokenizer.encode_batch_fast(docs, add_special_tokens=False)]
+    assert [d for d, a, b in zip(docs, encoder.encode([d.encode() for d in docs]), want, strict=True) if a != b] == []
+    assert max(len(encoder.known), len(encoder.known.older), len(encoder.of_word)) <= 501
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        tokenids.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("block_ids,same_id", [(1, 10_000), (40, 1), (1 << 20, 10_000)])
+def test_blocks_round_trip(spark, block_ids, same_id, monkeypatch):
+    monkeypatch.setattr(tokenids, "SAME_ID", same_id)
     ship(spark)
     rows = [(i * 7 - 20, t) for i, t in enumerate(ODD)] + [(1, "again"), (1, "again"), (None, "no id")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as n_tokens").repartition(3)
     got = tokenids.read_blocks(Scratch(spark, "t").save(tokenids.encode_blocks(docs, VOCABULARY, block_ids=block_ids), "b")).collect()
     want, start = [], 0
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").collect()  # the order of rows of one id
