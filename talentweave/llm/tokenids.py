@@ -251,7 +251,7 @@ def encode_blocks(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
 def read_blocks(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in stored blocks, read from their bytes."""
-    totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each shard
+    totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each shard, so as many as shuffle partitions
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +270,17 @@ def read_blocks(stored: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), *(pa.array(x, pa.int64()) for x in (starts, sizes, sums))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     columns = ["before", "first", "n_docs", "low_bits", "low", "high", "width", "ids", "doc_ids"]
-    return stored.join(before, "shard").select(columns).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return stored.join(F.broadcast(before), "shard").select(columns).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def write_and_read(docs: DataFrame, scratch: Scratch, vocabulary: str) -> DataFrame:
-    """Writes the blocks of all documents to the shared folder and returns what `read_blocks` finds there."""
-    return read_blocks(scratch.save(encode_blocks(docs, vocabulary), "token_blocks"))
+    """Writes the blocks of all documents to the shared folder and returns what `read_blocks` finds there. A file that
+    doesn't hold as many documents as there are is an error."""
+    stored = scratch.save(encode_blocks(docs, vocabulary), "token_blocks")
+    written, there = stored.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0], docs.count()
+    if written != there:
+        raise RuntimeError(f"{written} of {there} documents were written")
+    return read_blocks(stored)
 
 
 def ids_of(path: str, text: str | None) -> list[int]:
