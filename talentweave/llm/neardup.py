@@ -351,14 +351,14 @@ def one_of_each(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     with nothing, so all of them stay.
     """
     found = near_duplicates(docs, scratch, id_col, text_col)
-    kept = scratch.save(found.where("key = component").groupBy("key").agg(F.count("*").alias("rows")).withColumnRenamed("key", "__key"), "kept")
-    rows = docs.withColumn("__key", order_key(docs[id_col])).join(kept.hint("merge"), "__key")  # it grows with the corpus
+    kept = scratch.save(found.where("key = component").groupBy("key").agg(F.count("*").alias("rows")), "kept")
+    # the columns of `docs` travel as one struct, so no name can clash
+    rows = docs.select(F.struct("*").alias("row"), order_key(docs[id_col]).alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("own")).join(kept.hint("merge"), "key")  # it grows with the corpus
     if kept.where("rows > 1").head(1):
-        wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        rows = rows.withColumn("__wordless", wordless)
-        worded = Window.partitionBy("__key", "__wordless").orderBy(F.col(text_col).asc_nulls_last())
-        rows = rows.withColumn("__place", F.row_number().over(worded)).where("__wordless or __place = 1")
-    return rows.select(docs.columns)
+        rows = rows.withColumn("wordless", ~F.col("own").rlike(r"[^\x20\x09-\x0D]"))
+        worded = Window.partitionBy("key", "wordless").orderBy("own")
+        rows = rows.withColumn("place", F.row_number().over(worded)).where("wordless or place = 1")
+    return rows.select("row.*")
 
 
 def original_id(key):
