@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentweave.llm import decontamination, language, mixing, neardup, tokenids
-from talentweave.llm.ordering import order_key
 from talentweave.llm.queries import table
 from talentweave.llm.scratch import Scratch
 from talentweave.shipping import ship
