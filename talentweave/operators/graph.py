@@ -1,21 +1,29 @@
 """Role graphs: provisional neighbours and career moves over all directed pairs of roles.
 
 Both scores compare every role with every other: a pair without a shared activity can still reach a top list through
-grade and family, so pairs aren't pruned by what they share. Sparse terms are sums over long tables, joined on the item
-and aggregated by pair; the frame of all pairs is the only product, and its smaller side is broadcast only below a
-checked number of rows, otherwise both sides are dealt in blocks.
+grade and family, so pairs aren't pruned by what they share. Neighbours are scored block by block, and only the best rows
+of a block leave its task. Moves keep every pair with its reason: their sparse terms are sums over long tables, joined on
+the item and aggregated by pair; the smaller side of the frame of all pairs is broadcast only below a checked number of
+rows, otherwise both sides are dealt in blocks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..lineage import cut
 from .features import activity_rarity, capability_profile, grade_ranks
 
 #: Rows of a role table that are broadcast for the frame of all pairs.
 BROADCAST_ROLES = 200_000
+#: Roles of either side that one task scores against each other, and items of a slice of their matrices.
+BLOCK_ROLES = 1_000
+_SLICE = 4_096
 
 
 def all_pairs(roles: DataFrame, blocks: int = 64) -> DataFrame:
@@ -56,6 +64,92 @@ def _ranked(scored: DataFrame, score: Column, tie: Column, keep: int | None, nam
     return rows.where(F.col(name) <= keep) if keep else rows
 
 
+def _entries(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, value) of all entries of a column of lists; a null list is empty."""
+    lists = table.column(column).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten()
+    return pc.list_parent_indices(lists).to_numpy(), flat.field("item").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False).astype(float)
+
+
+def _product(a: tuple, b: tuple, shape: tuple[int, int], n: int) -> np.ndarray:
+    """Sums of a's values times b's over the items both have, by (row of a, row of b); items go in slices of bounded width."""
+    out = np.zeros(shape)
+    for first in range(0, n, _SLICE):
+        sides = []
+        for (row, code, value), size in zip((a, b), shape, strict=True):
+            part = (code >= first) & (code < first + _SLICE)
+            side = np.zeros((size, min(_SLICE, n - first)))
+            side[row[part], code[part] - first] = value[part]
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_scores(asked: pa.Table, stored: pa.Table, w: scoring.NeighbourWeights) -> dict[str, np.ndarray]:
+    """The parts of the neighbour score, as matrices of asked by stored roles."""
+    shape = asked.num_rows, stored.num_rows
+
+    def coded(column: str) -> tuple[tuple, tuple, int]:
+        (ra, ia, va), (rb, ib, vb) = _entries(asked, column), _entries(stored, column)
+        names, code = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+        return (ra, code[: len(ia)], va), (rb, code[len(ia) :], vb), len(names)
+
+    a, b, n = coded("items")
+    shared = _product(a, (b[0], b[1], np.ones(len(b[1]))), shape, n)
+    totals = [np.bincount(x[0], x[2], minlength=size) for x, size in zip((a, b), shape, strict=True)]
+    union = totals[0][:, None] + totals[1] - shared
+    a, b, n = coded("levels")
+    ready = np.zeros(shape)
+    for wanted in np.unique(b[2][b[2] != 0]).tolist():
+        at = b[2] == wanted
+        ready += _product((a[0], a[1], np.minimum(a[2] / wanted, 1)), (b[0][at], b[1][at], np.ones(int(at.sum()))), shape, n)
+    ready /= np.maximum(1, np.bincount(b[0], minlength=shape[1]))
+    delta = stored.column("grade_rank").to_numpy() - asked.column("grade_rank").to_numpy()[:, None]
+    families = pa.concat_arrays([x for t in (asked, stored) for x in t.column("sub_family").chunks]).dictionary_encode().indices
+    families = families.fill_null(-1).to_numpy(zero_copy_only=False)
+    same = (families[: shape[0], None] == families[shape[0] :]) & (families[shape[0] :] >= 0)
+    grade = np.where(np.isnan(delta), 0, np.maximum(0, 1 - np.abs(delta) / w.grade_span))
+    work = np.where(union > 0, shared / np.where(union > 0, union, 1), 0)
+    raw = w.readiness * ready + w.activities * work + w.sub_family * same + w.grade * grade
+    return {"delta": delta, "readiness": ready, "work": work, "same_sub_family": same, "grade": grade, "raw": raw}
+
+
+def _best_of_blocks(frame: DataFrame, w: scoring.NeighbourWeights, rounded: bool, block_rows: int = BLOCK_ROLES) -> DataFrame:
+    """The parts of the score for the best neighbours of each role in every block of roles. Both sides are dealt in blocks of
+    bounded size; a task scores two of them against each other, and only its best rows leave it."""
+    key, kind = frame.schema["role_id"].dataType.simpleString(), pa.bool_()
+    schema = f"a_role_id {key}, b_role_id {key}, delta double, readiness double, work double, same_sub_family boolean, grade double, raw double, ranked double"
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        stored = stored.rename_columns([c.removeprefix("b_") for c in stored.column_names])
+        asked, stored = asked.sort_by("role_id"), stored.sort_by([("role_id", "descending")])  # larger ids first on ties
+        a_ids, b_ids = asked.column("role_id").to_numpy(), stored.column("role_id").to_numpy()
+        parts = _block_scores(asked, stored, w)
+        parts["ranked"] = np.floor(parts["raw"] * 1e12 + 0.5) / 1e12 if rounded else parts["raw"]
+        score = np.where(a_ids[:, None] == b_ids, -np.inf, parts["ranked"])
+        place = max(0, score.shape[1] - w.neighbours)
+        least = np.partition(score, place, axis=1)[:, place] if score.size else np.zeros(len(a_ids))
+        row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        order = np.lexsort((column, -score[row, column], row))
+        row, column = row[order], column[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < w.neighbours
+        row, column = row[kept], column[kept]
+        found = {name: values[row, column] for name, values in parts.items()}
+        columns = [pa.array(a_ids[row]), pa.array(b_ids[column]), *(pa.array(v, kind) if name == "same_sub_family" else pa.array(v, pa.float64(), from_pandas=True) for name, v in found.items())]
+        return pa.Table.from_arrays(columns, names=["a_role_id", "b_role_id", *found])
+
+    n = frame.count()
+    i = max(1, -(-n // block_rows))
+    j = max(i, -(-frame.sparkSession.sparkContext.defaultParallelism // i))
+    block = lambda k: F.pmod(F.xxhash64("role_id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = frame.withColumn("i", block(i)).withColumn("j", every(j))
+    # other names on the other side: the optimiser takes columns of one origin for each other and drops them
+    given = frame.withColumn("j", block(j)).withColumn("i", every(i)).select(*(F.col(c).alias(f"b_{c}") for c in asked.columns))
+    return asked.groupBy("i", "j").cogroup(given.groupBy("b_i", "b_j")).applyInArrow(run, schema)
+
+
 def neighbours(roles: DataFrame, links: DataFrame, capabilities: DataFrame, w: scoring.NeighbourWeights = scoring.NeighbourWeights(), rounded: bool = False, digits: int = 12) -> DataFrame:
     """The best neighbours of every role, ranked by raw score, then by the larger id.
 
@@ -63,24 +157,12 @@ def neighbours(roles: DataFrame, links: DataFrame, capabilities: DataFrame, w: s
     """
     rarity = activity_rarity(links, roles).select("activity", (1 - F.col("share")).alias("weight"))
     items = links.select("role_id", "activity").distinct().join(rarity, "activity", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    frame = roles.join(grade_ranks(roles), "rung", "left").select("role_id", "sub_family", "grade_rank")
-    pairs = all_pairs(frame)
-    pairs = pairs.join(shared_weight(items, "activity"), ["a_role_id", "b_role_id"], "left").join(readiness(capability_profile(capabilities)), ["a_role_id", "b_role_id"], "left")
-    pairs = pairs.join(_totals(items, "a"), "a_role_id", "left").join(_totals(items, "b"), "b_role_id", "left")
-    delta = F.col("b_grade_rank") - F.col("a_grade_rank")
-    same = F.coalesce(F.col("a_sub_family") == F.col("b_sub_family"), F.lit(False))
-    pairs = pairs.select(
-        "a_role_id",
-        "b_role_id",
-        delta.alias("delta"),
-        F.coalesce("readiness", F.lit(0.0)).alias("readiness"),
-        scoring.weighted_jaccard(F.col("shared_weight"), F.col("a_weight"), F.col("b_weight")).alias("work"),
-        same.alias("same_sub_family"),
-        scoring.grade_proximity(delta, w.grade_span).alias("grade"),
-    )
-    raw = scoring.neighbour_score(F.col("readiness"), F.col("work"), F.col("same_sub_family"), F.col("grade"), w)
-    pairs = pairs.withColumn("raw", raw)
-    best = _ranked(pairs, F.round("raw", 12) if rounded else F.col("raw"), F.desc("b_role_id"), w.neighbours, "neighbour_rank")
+    frame = roles.join(grade_ranks(roles), "rung", "left").select("role_id", "sub_family", F.col("grade_rank").cast("double"))
+    lists = items.groupBy("role_id").agg(F.collect_list(F.struct(F.col("activity").alias("item"), F.col("weight").alias("value"))).alias("items"))
+    levels = capability_profile(capabilities).groupBy("role_id").agg(F.collect_list(F.struct(F.col("capability").alias("item"), F.col("level").cast("double").alias("value"))).alias("levels"))
+    frame = cut(frame.join(lists, "role_id", "left").join(levels, "role_id", "left"))
+    best = _best_of_blocks(frame, w, rounded)
+    best = _ranked(best, F.col("ranked"), F.desc("b_role_id"), w.neighbours, "neighbour_rank")
     shown = lambda c, k: F.round(k * F.col(c).cast("double"), digits)
     return best.select(
         F.col("a_role_id").alias("role_id"),
