@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, language, mixing, neardup, substrings, tokenids, toxicity
+from . import chat, decontamination, fingerprints, language, mixing, neardup, periodicruns, sortmeans, substrings, tokencounts, tokenids, toxicity
 from .scratch import Scratch
 from .secrets import BASE, RULES, find_secrets
 from ..shipping import ship
 
 
+#: Tokens above which a document is said to be over the limit.
+TOKEN_LIMIT = 4096
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -102,6 +106,38 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document, huge ones spliced from overlapping chunks."""
+    import public_tokenizers
+
+    rows = tokencounts.count_tokens(table(spark, sf_dir, "documents"), Scratch(spark, "op11"), public_tokenizers.path(tokencounts.VOCABULARY))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds of sort-means."""
+    rows = sortmeans.with_inertia(*sortmeans.cluster(table(spark, sf_dir, "embeddings"), Scratch(spark, "op12")))
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", sortmeans.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of which repeat part of themselves, and what is left without them."""
+    runs = periodicruns.find_runs(periodicruns.with_repetitions(table(spark, sf_dir, "documents")), "id")
+    best = periodicruns.strongest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = runs.select("id", "runs", "collapsed", best.alias("best"), lines.alias("lines"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -113,9 +149,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preferences": op8_preferences,
     "op9_language": op9_language,
     "op10_secret_scan": op10_secret_scan,
+    "op11_token_counts": op11_token_counts,
+    "op12_sort_means": op12_sort_means,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
     "op8_preferences": chat.ORACLE,
+    "op12_sort_means": sortmeans.ORACLE,
 }
