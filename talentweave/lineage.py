@@ -33,3 +33,25 @@ def consecutive(df: DataFrame, *order: Column | str, name: str = "id", after: in
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     shift = F.create_map(*before)[F.col("_range")] if before else F.lit(after).cast("long")
     return ranged.withColumn(name, place + shift).drop("_range")
+
+
+def neighbours_in_order(keys: DataFrame, points: DataFrame) -> DataFrame:
+    """(group, point, before, at, after) for distinct (group, point): the largest key of the group below the point, whether
+    the point is a key, and the smallest key above it.
+
+    Both are dealt to ranges of (group, key). Within a range the neighbours come from two windows; those that lie in other
+    ranges from a table of the least and largest key of each group in each range.
+    """
+    rows = keys.select("group", "key", F.lit(True).alias("is_key"), F.lit(False).alias("is_point"))
+    rows = rows.unionByName(points.select("group", F.col("point").alias("key"), F.lit(False).alias("is_key"), F.lit(True).alias("is_point")))
+    rows = rows.groupBy("group", "key").agg(F.max("is_key").alias("is_key"), F.max("is_point").alias("is_point"))
+    ranged = cut(rows.repartitionByRange("group", "key").withColumn("range", F.spark_partition_id()))
+    own = F.when(F.col("is_key"), F.col("key"))
+    ends = ranged.groupBy("group", "range").agg(F.min(own).alias("least"), F.max(own).alias("largest"))
+    earlier = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    later = Window.partitionBy("group").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("group", "range", F.max("largest").over(earlier).alias("largest"), F.min("least").over(later).alias("least"))
+    here = Window.partitionBy("range", "group")
+    down, up = here.orderBy("key").rowsBetween(Window.unboundedPreceding, -1), here.orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumns({"before": F.last(own, True).over(down), "after": F.last(own, True).over(up)}).where("is_point").join(ends, ["group", "range"])
+    return found.select("group", F.col("key").alias("point"), F.coalesce("before", "largest").alias("before"), F.col("is_key").alias("at"), F.coalesce("after", "least").alias("after"))

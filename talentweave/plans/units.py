@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, text
+from ..lineage import consecutive
 from ..operators import extraction, graph, hierarchy, mappings, payloads, quality, releases, similarity, statements, summaries, vocabulary
 from ..sources.files import wide_matrix
 from .binding import Domain, ctes
@@ -281,14 +282,46 @@ def fan_provisional(d: Domain) -> DataFrame:
     return fans(d, "draft")
 
 
-@query(f"WITH {ctes('hierarchy')} SELECT code, CAST(CASE level WHEN 'Job Family' THEN 5001 WHEN 'Sub-family' THEN 5002 ELSE 5003 END AS BIGINT) AS depth FROM hierarchy")
+DEEP = f"""{ctes("hierarchy")}, numbered AS (SELECT CAST(o_orderkey AS VARCHAR) AS code, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders),
+    deep AS (SELECT a.code, coalesce(b.code, '') AS parent_code FROM numbered a LEFT JOIN numbered b ON b.n = a.n - 3
+      UNION ALL SELECT code, CASE WHEN parent_code = '' THEN (SELECT code FROM numbered ORDER BY n DESC LIMIT 1) ELSE parent_code END FROM hierarchy)"""
+
+
+@query(f"""WITH RECURSIVE {DEEP}, down AS (SELECT code, 1 AS depth, code AS root FROM deep WHERE parent_code = '' UNION ALL SELECT deep.code, depth + 1, root FROM down JOIN deep ON parent_code = down.code)
+    SELECT code, CAST(depth AS BIGINT) AS depth, root FROM down""")
 def deep_hierarchy(d: Domain) -> DataFrame:
-    """A chain of codes above the families, far deeper than any framework: every walk reaches its end."""
-    n = 18
-    chain = d.spark.range(n).select(F.concat(F.lit("C"), "id").alias("code"), F.lit("x").alias("name"), F.lit("Chain").alias("level"), F.when(F.col("id") > 0, F.concat(F.lit("C"), F.col("id") - 1)).otherwise("").alias("parent_code"))
-    tree = d.hierarchy().withColumn("parent_code", F.when(F.col("parent_code") == "", f"C{n - 1}").otherwise(F.col("parent_code")))
-    found = hierarchy.paths(chain.unionByName(tree)).groupBy("code").agg(F.count("*").alias("depth"))
-    return found.where("not startswith(code, 'C')").withColumn("depth", F.col("depth") + 5000 - n)
+    """Three chains, each of a third of all orders, and the hierarchy under the end of one: the depth of every code."""
+    orders = consecutive(d.t("orders").select("o_orderkey"), "o_orderkey", name="n")
+    numbered = orders.select(F.col("o_orderkey").cast("string").alias("code"), "n")
+    above = numbered.select(F.col("code").alias("parent_code"), (F.col("n") + 3).alias("n"))
+    chains = numbered.join(above, "n", "left").select("code", F.coalesce("parent_code", F.lit("")).alias("parent_code"))
+    last = numbered.orderBy(F.desc("n")).limit(1).select(F.col("code").alias("last"))
+    tree = d.hierarchy().crossJoin(F.broadcast(last)).select("code", F.when(F.col("parent_code") == "", F.col("last")).otherwise(F.col("parent_code")).alias("parent_code"))
+    return hierarchy.depths(chains.unionByName(tree))
+
+
+RINGS = """customers AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer),
+    rings AS (SELECT a.k AS code, b.k AS parent_code FROM customers a LEFT JOIN customers b ON b.n = CASE WHEN a.n % 128 < 127 THEN a.n + 1 WHEN a.n // 128 % 2 = 0 THEN a.n - 127 ELSE a.n - 255 END)"""
+
+
+def rings(d: Domain) -> DataFrame:
+    """Customers in blocks of 128, each under the next one. The last of every other block is under its first, which closes
+    a cycle; the last of the blocks between is under the first of the block before. A short block ends."""
+    numbered = consecutive(d.t("customer").select("c_custkey"), "c_custkey", name="n").select(F.col("c_custkey").alias("code"), (F.col("n") - 1).alias("n"))
+    over = F.when(F.col("n") % 128 < 127, F.col("n") + 1).when(F.floor(F.col("n") / 128) % 2 == 0, F.col("n") - 127).otherwise(F.col("n") - 255)
+    return numbered.withColumn("over", over).join(numbered.select(F.col("code").alias("parent_code"), F.col("n").alias("over")), "over", "left").select("code", "parent_code")
+
+
+@query(f"""WITH RECURSIVE {RINGS}, hung AS (SELECT CAST(code AS VARCHAR) AS code, CAST(parent_code AS VARCHAR) AS parent_code FROM rings UNION ALL SELECT 'S' || s_suppkey, CAST(s_suppkey * 7 % 700 + 1 AS VARCHAR) FROM supplier),
+    up AS (SELECT code, parent_code AS top, 1 AS n FROM hung UNION ALL SELECT up.code, hung.parent_code, n + 1 FROM up JOIN hung ON hung.code = top WHERE n < 600 AND hung.parent_code IS NOT NULL)
+    SELECT code, bool_or(top = code) AS on_cycle FROM up GROUP BY 1 HAVING max(n) >= 600""")
+def long_cycles(d: Domain) -> DataFrame:
+    """Codes from which walks never end: cycles of 128 customers, and the customers and suppliers that hang at them."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    hung = rings(d).select(text("code"), text("parent_code"))
+    hung = hung.unionByName(d.t("supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("code"), (F.col("s_suppkey") * 7 % 700 + 1).cast("string").alias("parent_code")))
+    on = hierarchy.cycles(hung).withColumn("on_cycle", F.lit(True))
+    return hierarchy.endless(hung).join(on, "code", "left").select("code", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 
 @query(
