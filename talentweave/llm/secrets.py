@@ -5,9 +5,10 @@ and minimised by partition refinement into transition arrays. In the combined au
 report, that is, with the least length of its group built in. The scan runs many lanes of a batch at once: it cuts the text
 behind bytes that take every state back to the start, which no match holds, so each lane may begin in the start state.
 
-Lanes that reach an accepting state are read by the automata of the rules that accepted there: of the leftmost place where a
-rule's own automaton accepts, the longest match is taken, and the next one is looked for behind it. For the rules here that
-is what a backtracking matcher gives, as their characters leave one way to match.
+Lanes that reach an accepting state are read by the automata of the rules that accepted there. The automaton of the
+reversed rule reads the lane once from its end and marks all places where a match begins; from the first of them the rule's
+automaton takes the longest match, and goes on at the first one behind it. So a byte is read a fixed number of times,
+whatever the text. For the rules here that is what a backtracking matcher gives, as their characters leave one way to match.
 """
 
 from __future__ import annotations
@@ -93,6 +94,15 @@ def _parse(rule: Rule, reported: bool) -> list:
     return whole if rule.group else lengthened(whole)
 
 
+def _backwards(part):
+    """What reads the same from the end."""
+    if isinstance(part, frozenset):
+        return part
+    if isinstance(part, list):
+        return [_backwards(x) for x in reversed(part)]
+    return (part[0], [_backwards(x) for x in part[1]]) if part[0] == "alt" else (part[0], _backwards(part[1]), *part[2:])
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.empty: list[list[int]] = []
@@ -151,11 +161,12 @@ class Automaton:
 
 
 @cache
-def _rule_automaton(rule: Rule, reported: bool, anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+def _rule_automaton(rule: Rule, reported: bool, anywhere: bool, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The minimal automaton of a rule: next state by state and byte, and the states that accept. The start is 0."""
     nfa = _Nfa()
     first = nfa.state()
-    accepting = 1 << nfa.add(_parse(rule, reported), first)
+    parsed = _parse(rule, reported)
+    accepting = 1 << nfa.add(_backwards(parsed) if backwards else parsed, first)
 
     sets = sorted({s for moves in nfa.moves for s, _ in moves}, key=sorted)
     signatures = [tuple(b in s for s in sets) for b in range(256)]
@@ -271,7 +282,6 @@ class Matcher:
     first: int
     move: list[list[int]]
     accepts: list[bool]
-    begins: np.ndarray  # bytes that can begin a match
 
     @staticmethod
     def of(rule: Rule, reported: bool) -> Matcher:
@@ -281,7 +291,7 @@ class Matcher:
         place = np.argsort(order)
         moves = place[moves[order]]
         first = int(place[0])
-        return Matcher(first, moves.tolist(), accepts[order].tolist(), moves[first] > 0)
+        return Matcher(first, moves.tolist(), accepts[order].tolist())
 
     def longest(self, data: bytes, at: int) -> int:
         """The end of the longest match that begins at `at`, or -1."""
@@ -296,8 +306,19 @@ class Matcher:
 
 
 @cache
-def _matchers(rule: Rule) -> tuple[Matcher, Matcher]:
-    return Matcher.of(rule, False), Matcher.of(rule, True)
+def _matchers(rule: Rule) -> tuple[Matcher, Matcher, list[list[int]], list[bool]]:
+    moves, accepts = _rule_automaton(rule, False, True, True)
+    return Matcher.of(rule, False), Matcher.of(rule, True), moves.tolist(), accepts.tolist()
+
+
+def _starts(data: bytes, move: list[list[int]], accepts: list[bool]) -> list[int]:
+    """All places where a match begins, ascending: those where the automaton of the reversed rule accepts."""
+    state, found = 0, []
+    for p in range(len(data) - 1, -1, -1):
+        state = move[state][data[p]]
+        if accepts[state]:
+            found.append(p)
+    return found[::-1]
 
 
 def spans_of(data: np.ndarray, rules: tuple[Rule, ...], mask: int) -> list[tuple[int, int, int]]:
@@ -305,13 +326,13 @@ def spans_of(data: np.ndarray, rules: tuple[Rule, ...], mask: int) -> list[tuple
     out, raw = [], data.tobytes()
     for k, rule in enumerate(rules):
         if mask >> k & 1:
-            every, reported = _matchers(rule)
+            every, reported, move, accepts = _matchers(rule)
             behind = 0
-            for start in np.flatnonzero(every.begins[data]).tolist():
-                if start >= behind and (end := every.longest(raw, start)) > 0:
-                    behind = end
-                    if reported.longest(raw, start) == end:
-                        out.append((start, k, end))
+            for start in _starts(raw, move, accepts):
+                if start >= behind:
+                    behind = every.longest(raw, start)
+                    if reported.longest(raw, start) == behind:
+                        out.append((start, k, behind))
     return sorted(out)
 
 

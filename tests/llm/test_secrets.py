@@ -50,6 +50,19 @@ def test_matches_brute_force(spark, tmp_path):
     check(spark, tmp_path, [None, "", "token = abc", "secret: token: abcdefghij", *random_texts(2500), *long])
 
 
+def test_unbroken_texts_take_time_in_proportion(spark, tmp_path):
+    """Beginnings of matches that come to nothing until far behind are read a fixed number of times."""
+    import time
+
+    small = ["eyJ" * 900 + "/eyJa.eyJb.c", "eyJa." * 700 + "eyJ", "-----BEGIN " * 300 + "PRIVATE KEY-----", "xoxb-" * 500, "token=" * 400 + "x" * 9, "AKIA" * 500, "token " * 300 + "=abcdefgh"]
+    check(spark, tmp_path, small)
+    rules = secrets.RULES
+    for text in ("eyJ" * 350_000 + "/eyJa.eyJb.c", "-----BEGIN " * 90_000 + "PRIVATE KEY-----", "xoxb-" * 200_000, "api_key" * 150_000 + "=abcdefgh"):
+        data, began = np.frombuffer(text.encode(), np.uint8), time.time()
+        assert secrets.spans_of(data, rules, (1 << len(rules)) - 1)
+        assert time.time() - began < 20, text[:12]
+
+
 def test_a_match_never_crosses_documents(spark):
     ship(spark)
     docs = spark.createDataFrame([(1, "token="), (2, "abcdefghij"), (3, "0123456789abcdef"), (4, "0123456789abcdef"), (4, "0123456789abcdef" * 2), (None, "AKIA"), (5, "ABCDEFGHIJKL")], "doc_id long, text string").coalesce(1)
