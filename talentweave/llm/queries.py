@@ -83,9 +83,9 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as the chosen one of a preference pair."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rejected = chat.with_other_answers(turns, Scratch(spark, "op8"))
-    return chat.format_preferences(turns.withColumnRenamed("conv_id", "pair_id"), rejected)
+    return chat.format_preferences(turns.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"), rejected)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
