@@ -15,16 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import hash63, in_share
+from .ordering import in_share
 from .textbatch import blocks, codepoints
 
 ORDERS = (3, 4, 5, 6)
 #: N-grams of the model, the ones that tell the classes apart best.
 FEATURES = 2048
-#: The classifier is fitted on a sample of the labelled rows, those of the smallest hashes of the id: so many rows and code
-#: points at most (but for a single row that is longer).
+#: The classifier is fitted on a sample of the labelled rows, those of the smallest hashes of id and text: so many rows and
+#: code points at most (but for a single row that is longer).
 FIT_ROWS = 8_000
 FIT_CHARS = 24_000_000
+#: One of so many rows of the sample is of the rarer class at least.
+LEAST_SHARE = 8
 BLOCK = 500_000
 _BITS = 22
 
@@ -61,17 +63,28 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chosen(known: DataFrame, rows: int, chars: int) -> list:
-    """Rows (id, toxic, h, size) of the sample: the first by hash that fit, or the shortest one where none does."""
-    n = known.count()
-    first = known.where(in_share(F.col("id"), 4 * rows / max(1, n))).orderBy("h", "id", "size", "toxic").limit(rows).collect()
-    if n and not first:
-        raise ValueError(f"an empty sample of {n} labelled rows")
-    held, out = 0, []
-    for r in first:
-        if held + r["size"] <= chars:
-            held += r["size"]
-            out.append(r)
-    return out or sorted(first, key=lambda r: r["size"])[:1]
+    """Rows (id, toxic, h, size) of the sample, of each class the first by hash that fit; the shortest one where none does.
+
+    A class has its share of `rows`, but an eighth at least if it has as many; `chars` are dealt out alike.
+    """
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    n = sum(counts.values())
+    take = {c: min(m, max(rows * m // max(1, n), rows // LEAST_SHARE, 1)) for c, m in counts.items()}
+    most = max(take, key=take.get, default=None)
+    if len(take) > 1:
+        take[most] = min(counts[most], max(1, rows - sum(take[c] for c in take if c != most)))
+    out, shortest = [], []
+    for c, m in sorted(counts.items()):
+        first = known.where((F.col("toxic") == c) & in_share(F.col("h"), max(4 * take[c], 64) / m)).orderBy("h", "id", "size").limit(take[c]).collect()
+        if not first:
+            raise ValueError(f"an empty sample of {m} labelled rows")
+        held, room = 0, chars * take[c] // sum(take.values())
+        for r in first:
+            if held + r["size"] <= room:
+                held += r["size"]
+                out.append(r)
+        shortest += sorted(first, key=lambda r: r["size"])[:1]
+    return out or sorted(shortest, key=lambda r: r["size"])[:1]
 
 
 def _frequencies(seen: list[np.ndarray], label: np.ndarray, least: int, parts: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,21 +109,27 @@ def _frequencies(seen: list[np.ndarray], label: np.ndarray, least: int, parts: i
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> ToxicityModel:
     """Fits the model on documents with a label in `labels` (id, label); null labels and ids are left out, a null text is empty.
 
-    An id with several labels counts as toxic if one of them is; documents that repeat an id have its label each. Sizes
-    alone are joined with the labels to choose the sample; its ids, `rows` at most, are then broadcast to the documents,
-    so no text is shuffled. Without both classes, as for an empty table, the model has no feature and gives the smoothed
-    share of the class it saw.
+    An id with several labels counts as toxic if one of them is; documents that repeat an id have its label each, and rows
+    that repeat id and text count once. Sizes and hashes alone are joined with the labels to choose the sample; its keys (id,
+    hash of the text), `rows` at most, are then broadcast to the documents, and of each key one text comes back, so neither
+    a hot id nor copies of a text bring more than `rows` texts to the driver. Where a class has less than an eighth of the
+    rows it is taken more often, and the intercept is set back by what that adds to its odds. Without both classes, as for
+    an empty table, the model has no feature and gives the smoothed share of the class it saw; a sample that has lost a
+    class that the labels have (texts longer than `chars` allow) is an error.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic"))
     text = F.coalesce(docs[text_col], F.lit(""))
-    sizes = docs.select(docs[id_col].alias("id"), F.length(text).alias("size"))
-    chosen = _chosen(sizes.join(known, "id").withColumn("h", hash63(F.col("id"))), rows, chars)
+    keyed = docs.select(docs[id_col].alias("id"), F.shiftrightunsigned(F.xxhash64(docs[id_col].cast("string"), text), 1).alias("h"), text.alias("text"))
+    sizes = keyed.select("id", "h", F.length("text").alias("size")).join(known, "id").groupBy("id", "h", "toxic").agg(F.min("size").alias("size"))
     spark = docs.sparkSession
-    chosen = spark.createDataFrame(sorted({(r["id"], r["toxic"]) for r in chosen}), known.schema)
-    sample = docs.select(docs[id_col].alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    counts = {r["toxic"]: r["count"] for r in sizes.groupBy("toxic").count().collect()}
+    chosen = spark.createDataFrame(sorted((r["id"], r["h"], r["toxic"]) for r in _chosen(sizes, rows, chars)), sizes.select("id", "h", "toxic").schema)
+    sample = keyed.join(F.broadcast(chosen), ["id", "h"]).groupBy("id", "h", "toxic").agg(F.first("text").alias("text")).toArrow().sort_by([("id", "ascending"), ("h", "ascending")])
     texts, label = sample.column("text").to_pylist(), np.array(sample.column("toxic").to_pylist(), bool)
     del sample
-    if label.all() or not label.any():
+    if len(counts) > 1 and (label.all() or not label.any()):
+        raise ValueError(f"the sample has lost a class of {counts}")
+    if len(counts) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((label.sum() + 1) / ((~label).sum() + 1))))
 
     seen: list[np.ndarray] = []  # the distinct n-grams of each document
@@ -131,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
         hit = at[grams[at] == found] if len(grams) else at[:0]
         owner.append(np.full(len(hit), i)), column.append(hit)
     weights, bias = _logistic(np.concatenate(owner), np.concatenate(column), ratio, label)
-    return ToxicityModel(grams, weights * ratio, bias)
+    if min(counts.values()) * LEAST_SHARE < sum(counts.values()):
+        bias += np.log(counts[True] / counts[False]) - np.log(label.sum() / (~label).sum())
+    return ToxicityModel(grams, weights * ratio, float(bias))
 
 
 def _logistic(owner: np.ndarray, column: np.ndarray, scale: np.ndarray, label: np.ndarray, penalty: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, float]:

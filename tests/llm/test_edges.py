@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talentweave.llm import chat, fingerprints, language, mixing, neardup, substrings, toxicity
+from talentweave.llm import chat, fingerprints, language, mixing, neardup, queries, substrings, toxicity
 from talentweave.llm.ordering import in_share
 from talentweave.llm.scratch import Scratch, shared_dir
 from talentweave.shipping import ship
@@ -105,8 +105,43 @@ def test_fingerprints_of_empty_repeated_and_clashing_rows(spark, docs):
 
 def test_pairs_of_an_empty_table(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a", 5), (1, 1, "assistant", "b", 5), (2, 0, "user", "c", 5), (2, 1, "assistant", "d", 5)], "conv_id long, turn int, role string, text string, pair_id int")
-    none = turns.limit(0).drop("pair_id")
-    assert chat.format_preferences(none.withColumnRenamed("conv_id", "pair_id"), chat.with_other_answers(none, Scratch(spark, "t"))).count() == 0
+    none = turns.limit(0)
+    assert chat.format_preferences(none.drop("pair_id").withColumnRenamed("conv_id", "pair_id"), chat.with_other_answers(none, Scratch(spark, "t"))).count() == 0
+
+
+def test_preferences_of_clashing_columns_null_ids_and_ties(spark, tmp_path):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d"), (None, 0, "user", "e"), (None, 1, "assistant", "f"), (2, 1, "assistant", "e"), (2, 1, "user", None)]
+    clashes = ["pair_id", "key", "last", "last_turn", "answer", "other", "a", "b", "n", "differs", "prompt", "chosen", "rejected", "next_key", "range"]
+    for k, extra in enumerate((clashes, [])):
+        table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").select("*", *(F.lit(1).alias(c) for c in extra))
+        table.write.parquet(str(tmp_path / str(k) / "conversations.parquet"))
+    with_clashes, plain = (sorted(map(str, queries.op8_preferences(spark, str(tmp_path / str(k))).collect())) for k in range(2))
+    assert with_clashes == plain and len(plain) == 3
+    found = {r.pair_id: (r.prompt_turns, r.chosen, r.rejected) for r in queries.op8_preferences(spark, str(tmp_path / "0")).collect()}
+    # without an id is first, so 1 follows it; both rows of the last assistant turn of 2 are answered anew
+    assert found[None] == (1, "<|assistant|>\nf<|end|>\n", "<|assistant|>\nb<|end|>\n")
+    assert found[1] == (1, "<|assistant|>\nb<|end|>\n", "<|assistant|>\ne<|end|>\n")
+    assert found[2][0] == 1 and found[2][2].count("<|assistant|>\nf<|end|>") == 2
+    table.limit(0).write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert queries.op8_preferences(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_hot_id_brings_no_more_rows_than_the_sample(spark, monkeypatch):
+    """One id with most rows, of one class: texts on the driver stay within the bound, and no class is lost."""
+    ship(spark)
+    hot = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("calm river "), F.col("id") % 20_000).alias("text"))
+    rest = spark.createDataFrame([(k, "vile awful scum" if k % 2 else "quiet garden") for k in range(10, 20)], "doc_id long, text string")
+    docs, labels = hot.unionByName(rest), spark.createDataFrame([(7, 0)] + [(k, k % 2) for k in range(10, 20)], "doc_id long, toxic int")
+    came = []
+    monkeypatch.setattr(toxicity, "_frequencies", lambda seen, label, least, counted=toxicity._frequencies: came.append(label) or counted(seen, label, 1))
+    model = toxicity.fit(docs, labels, rows=400, chars=10**6)
+    assert len(came[0]) <= 400 and came[0].sum() == 5 and len(model.grams)
+    scores = {r.id: r.score for r in toxicity.score(rest, model).collect()}
+    assert min(v for k, v in scores.items() if k % 2) > max(v for k, v in scores.items() if k % 2 == 0)
+    toxicity.fit(docs, labels, rows=400, chars=3000)
+    long = docs.unionByName(spark.createDataFrame([(99, "vile " * 5000)], "doc_id long, text string"))
+    with pytest.raises(ValueError, match="lost a class"):
+        toxicity.fit(long, spark.createDataFrame([(7, 0), (99, 1)], "doc_id long, toxic int"), rows=400, chars=8000)
 
 
 def test_a_cluster_without_a_shared_folder_is_refused(spark):
