@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, scoring, text
-from ..operators import extraction, features, graph, hierarchy, mappings, payloads, quality, similarity, statements, summaries, vocabulary
+from ..operators import extraction, features, graph, hierarchy, mappings, payloads, pools, quality, similarity, statements, summaries, vocabulary
 from ..sources.files import long_matrix
 from .binding import Domain, ctes
 
@@ -119,9 +119,26 @@ def constellation_pools(d: Domain) -> DataFrame:
     return graph.ranked_pools(moves_of(d)).where("rank_default is not null or rank_down is not null").select("source_role_id", "candidate_role_id", "rank_default", "rank_down")
 
 
+POOL_SIZE = 25
+
+
+@query(
+    f"""WITH {POOLS} SELECT a AS source_role_id, b AS candidate_role_id, CASE WHEN rank_default <= {POOL_SIZE} THEN rank_default::INT END AS rank_default,
+      CASE WHEN rank_down <= {POOL_SIZE} THEN rank_down::INT END AS rank_down, round(score, 6) AS score FROM pools WHERE rank_default <= {POOL_SIZE} OR rank_down <= {POOL_SIZE}"""
+)
+def constellation_best_moves(d: Domain) -> DataFrame:
+    """The first 25 of both pools, by bounds of blocks of roles instead of all pairs."""
+    return rounded(pools.best_moves(d.roles(), d.role_activities(), d.adjacency(), POOL_SIZE, block_rows=16).drop("grade_delta"), "score")
+
+
 @query(f"WITH {MOVES} SELECT coalesce(reason_default, 'eligible') AS reason, count(*) AS n FROM judged GROUP BY 1")
 def constellation_reasons(d: Domain) -> DataFrame:
-    return moves_of(d).groupBy(F.coalesce("reason_default", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
+    return pools.reason_counts(d.roles(), d.role_activities(), d.adjacency(), block_rows=16)
+
+
+@query(f"WITH {MOVES} SELECT coalesce(reason_down, 'eligible') AS reason, count(*) AS n FROM judged GROUP BY 1")
+def constellation_reasons_down(d: Domain) -> DataFrame:
+    return pools.reason_counts(d.roles(), d.role_activities(), d.adjacency(), down=True, block_rows=16)
 
 
 @query(
