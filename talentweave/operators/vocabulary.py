@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import consecutive
+from ..functions import scoring
+from ..lineage import consecutive, cut
+from . import hierarchy, linkage, similarity, svd
 
-#: Phrases that one task clusters by average linkage; a larger vocabulary is clustered in parts by BisectingKMeans first.
+#: Clusters that one task may link to the end; more are merged round by round before.
 CLUSTER_ROWS = 3000
 
 
@@ -22,92 +23,45 @@ def phrase_counts(phrases: DataFrame, least: int = 1) -> DataFrame:
     return best.where(F.col("n") >= least)
 
 
-def tfidf(texts: DataFrame, key: str, text: str, features: int = 1 << 12, components: int | None = None) -> DataFrame:
-    """(key, vector) at unit length: sublinear term frequencies of words and word pairs times inverse frequencies.
+def tfidf(texts: DataFrame, key: str, text: str, components: int = 256) -> DataFrame:
+    """(key, vector) at unit length: sublinear term frequencies of words and word pairs times inverse frequencies, on their
+    `components` leading singular directions (signs are arbitrary), fewer for small tables.
 
-    With `components`, vectors are projected on that many principal directions (a fixed order, signs are arbitrary).
+    All terms count. A text without terms, and a null one, has a zero vector; keys are distinct.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StopWordsRemover
-
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_unit"),
-    ]
-    out = "_unit"
-    if components:
-        steps += [PCA(k=components, inputCol="_unit", outputCol="_low"), Normalizer(inputCol="_low", outputCol="_short")]
-        out = "_short"
-    from pyspark.ml.functions import vector_to_array
-
-    return Pipeline(stages=steps).fit(texts).transform(texts).select(key, vector_to_array(out).alias("vector"))
-
-
-def average_linkage(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """Cluster of each row: rows of the least mean cosine distance are merged until `clusters` are left."""
-    n = len(vectors)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(norms > 0, norms, 1)
-    distance = 1 - unit @ unit.T
-    np.fill_diagonal(distance, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > max(1, clusters):
-        i, j = divmod(int(np.argmin(distance)), n)
-        i, j = min(i, j), max(i, j)
-        merged = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
-        distance[i], distance[:, i] = merged, merged
-        distance[i, i] = np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        alive -= 1
-    return np.unique(label, return_inverse=True)[1]
-
-
-def clustered(vectors: DataFrame, key: str, target: int) -> DataFrame:
-    """(key, cluster): average linkage over cosine distance into min(target, max(2, n / 3)) clusters.
-
-    Above CLUSTER_ROWS rows that is approximated in two levels: BisectingKMeans makes parts of about half that size, the
-    linkage makes CLUSTER_ROWS small clusters of them in all, and links their centres down to the number wanted.
+    from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover
+
+    rows = texts.select(F.col(key).alias("row"), F.coalesce(text, F.lit("")).alias("_text"))
+    for step in (RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2), StopWordsRemover(inputCol="_words", outputCol="_kept"), NGram(n=2, inputCol="_kept", outputCol="_pairs")):
+        rows = step.transform(rows)
+    counts = rows.select("row", F.explode(F.concat("_kept", "_pairs")).alias("column")).groupBy("row", "column").agg((1 + F.log(F.count("*"))).alias("tf"))
+    counts, n = cut(counts), texts.count()
+    idf = cut(counts.groupBy("column").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf")))
+    weighted = counts.join(idf, "column").select("row", "column", (F.col("tf") * F.col("idf")).alias("value"))
+    own = Window.partitionBy("row")  # the terms of a text
+    unit = cut(weighted.withColumn("value", F.col("value") / F.sqrt(F.sum(F.col("value") * F.col("value")).over(own))))
+    terms = idf.count()
+    size = min(components, max(2, min(n, terms) - 1))
+    vectors = svd.truncated(unit, n, terms, size)[0]
+    zero = F.array_repeat(F.lit(0.0), size)
+    return rows.select("row").join(vectors, "row", "left").select(F.col("row").alias(key), scoring.unit(F.coalesce("vector", zero)).alias("vector"))
+
+
+def clustered(vectors: DataFrame, key: str, target: int, local_rows: int = CLUSTER_ROWS) -> DataFrame:
+    """(key, cluster): average linkage over cosine distance into min(target, max(2, n / 3)) clusters; see `linkage`.
+
+    Of the tree's n - 1 merges the lowest are made, as if pairs had been merged in this order.
     """
-    n = vectors.count()
+    rows = cut(consecutive(vectors.select(key, "vector"), key, name="id", after=-1))
+    n = rows.count()
     wanted = min(target, max(2, n // 3))
-    parts = -(-n // CLUSTER_ROWS) if n > CLUSTER_ROWS else 1
-    if parts > 1:
-        from pyspark.ml.clustering import BisectingKMeans
-        from pyspark.ml.functions import array_to_vector
-
-        rows = vectors.withColumn("_v", array_to_vector("vector"))
-        model = BisectingKMeans(k=parts * 2, featuresCol="_v", predictionCol="part", seed=1, distanceMeasure="cosine").fit(rows)
-        rows = model.transform(rows).select(key, "vector", "part")
-    else:
-        rows = vectors.withColumn("part", F.lit(0))
-    share = max(1, CLUSTER_ROWS // (2 * parts)) if parts > 1 else wanted
-
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        return pd.DataFrame({key: frame[key], "part": frame["part"], "local": average_linkage(np.vstack(frame["vector"]), share)})
-
-    kind = vectors.schema[key].dataType.simpleString()
-    found = rows.groupBy("part").applyInPandas(within, f"{key} {kind}, part int, local int")
-    found = found.withColumn("cluster", F.concat_ws("-", "part", "local")).select(key, "cluster")
-    if parts == 1:
-        return found
-    place = F.posexplode("vector").alias("place", "value")
-    mean = found.join(vectors, key).select("cluster", place).groupBy("cluster", "place").agg(F.avg("value").alias("value"))
-    centres = mean.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("vector"))
-
-    def linked(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cluster")
-        return pd.DataFrame({"cluster": frame["cluster"], "joint": average_linkage(np.vstack(frame["vector"]), wanted)})
-
-    joint = centres.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(linked, "cluster string, joint int")  # CLUSTER_ROWS at most
-    return found.join(joint, "cluster").select(key, F.concat(F.lit("0-"), F.col("joint").cast("string")).alias("cluster"))
+    merges = linkage.merges(rows.select("id", "vector"), n, local_rows)
+    made = consecutive(merges, "height", "id", name="place").where(F.col("place") <= max(0, n - wanted))
+    above = made.select(F.explode(F.array("a", "b")).alias("code"), F.col("id").alias("parent_code"))
+    nodes = rows.select(F.col("id").alias("code")).unionByName(made.select(F.col("id").alias("code"))).join(above, "code", "left")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    roots = hierarchy.depths(nodes.select(text("code"), text("parent_code"))).select(F.col("code").cast("long").alias("id"), F.col("root").alias("cluster"))
+    return rows.select(key, "id").join(roots, "id").select(key, "cluster")
 
 
 def build_vocabulary(members: DataFrame) -> DataFrame:
@@ -132,13 +86,10 @@ def build_vocabulary(members: DataFrame) -> DataFrame:
 
 
 def shortlist(roles: DataFrame, activities: DataFrame, k: int = 60) -> DataFrame:
-    """(role_id, activity_id, place, similarity): the k nearest activities of each role; the vocabulary is broadcast."""
-    from ..functions.scoring import cosine
-
-    v = activities.select("activity_id", F.col("vector").alias("activity_vector"))
-    scored = roles.crossJoin(v).select("role_id", "activity_id", cosine(F.col("vector"), F.col("activity_vector")).alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("role_id").orderBy(F.desc("similarity"), "activity_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    """(role_id, activity_id, place, similarity): the k nearest activities of each role, by products of blocks."""
+    asked = roles.select(F.col("role_id").alias("vec_id"), "vector")
+    near = similarity.nearest(asked, activities.select(F.col("activity_id").alias("vec_id"), "vector"), k, others=False)
+    return near.select(F.col("query_id").alias("role_id"), F.col("vec_id").alias("activity_id"), "place", "similarity")
 
 
 def assigned(shortlists: DataFrame, choose: Callable[[list[str]], list[str]] | None = None, fallback: int = 8, most: int = 14) -> DataFrame:

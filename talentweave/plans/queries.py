@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, scoring, text
 from ..operators import extraction, features, graph, hierarchy, mappings, payloads, pools, quality, similarity, statements, summaries, vocabulary
+from ..lineage import cut
 from ..sources.files import long_matrix
 from .binding import Domain, ctes
 
@@ -790,15 +791,15 @@ def matrix_to_rows(d: Domain) -> DataFrame:
 @query()
 def tfidf_shortlist(d: Domain) -> DataFrame:
     part = d.t("part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text"))
-    vectors = vocabulary.tfidf(part, "p_type", "text", features=512)
+    vectors = cut(vocabulary.tfidf(part, "p_type", "text"))
     roles = vectors.withColumnRenamed("p_type", "role_id")
-    return vocabulary.shortlist(roles, vectors.withColumnRenamed("p_type", "activity_id"), 10)
+    return vocabulary.shortlist(roles, vectors.withColumnRenamed("p_type", "activity_id"))
 
 
 @query()
 def cluster_vocabulary(d: Domain) -> DataFrame:
     phrases = vocabulary.phrase_counts(d.t("part").select(F.col("p_type").alias("phrase"), F.col("p_brand").alias("label"), F.col("p_partkey").alias("seq")))
-    vectors = vocabulary.tfidf(phrases, "phrase", "phrase", features=256)
+    vectors = vocabulary.tfidf(phrases, "phrase", "phrase")
     members = vocabulary.clustered(vectors, "phrase", 40).join(phrases, "phrase").withColumn("label", F.col("phrase"))
     return vocabulary.build_vocabulary(members)
 

@@ -98,14 +98,6 @@ def test_matrix_rules(spark):
     assert got == {(2, 2, "diagonal"), (1, 3, "unknown_tier"), (1, 3, "hole"), (1, 2, "asymmetric"), (2, 1, "asymmetric")}
 
 
-def test_average_linkage_separates_directions():
-    import numpy as np
-
-    v = np.array([[1, 0], [1, 0.1], [0, 1], [0.1, 1], [0, 0]])
-    label = vocabulary.average_linkage(v, 3)
-    assert label[0] == label[1] != label[2] == label[3] and len(set(label)) == 3
-
-
 def test_assignment_falls_back(spark):
     short = spark.createDataFrame([(1, f"a{k}", k, 0.0) for k in range(1, 12)] + [(2, "a1", 1, 0.0)], "role_id int, activity_id string, place int, similarity double")
     picked = vocabulary.assigned(short, lambda options: ["a3", "a3", "zzz"] if len(options) > 1 else []).collect()
