@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table, written to `spark.checkpoint.dir` and read again: what follows knows nothing of the plan behind it. (After
-    `checkpoint()` a plan keeps the constraints of the one before, which double with each join of a loop.) Where no folder
-    is set, a local session (tests) gets a temporary one; on a cluster that is an error, as executors don't share the
-    driver's folders."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`. Where none is set, a local session (tests) gets a temporary folder; on a cluster that is an
+    error, as executors don't share the driver's folders."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again: what follows knows nothing of the plan behind it. (After
+    `checkpoint()` a plan keeps the constraints of the one before, which double with each join of a loop.)"""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

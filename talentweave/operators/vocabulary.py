@@ -92,26 +92,41 @@ def shortlist(roles: DataFrame, activities: DataFrame, k: int = 60) -> DataFrame
     return near.select(F.col("query_id").alias("role_id"), F.col("vec_id").alias("activity_id"), "place", "similarity")
 
 
-def assigned(shortlists: DataFrame, choose: Callable[[list[str]], list[str]] | None = None, fallback: int = 8, most: int = 14) -> DataFrame:
-    """(role_id, activity_rank, activity_id, fallback_used): chosen activities in order, without repeats, at most `most`.
+def assigned(shortlists: DataFrame, choose: Callable[[list[str]], list[str]] | None = None, fallback: int = 8, most: int = 14, valid: set[str] | None = None, again: Callable[[list[str]], list[str]] | None = None, tries: int = 3) -> DataFrame:
+    """(role_id, activity_rank, activity_id, fallback_used, retry_count): chosen activities in order, without repeats, at
+    most `most`.
 
-    `choose` may call a model with a role's shortlist; answers outside the list are dropped, and without a valid answer
-    the first `fallback` activities are taken.
+    `choose` may call a model with a role's shortlist. Of an answer the activities of the vocabulary count (`valid`, a few
+    hundred ids; without it those of the shortlist). An answer without any, and a call that fails, is asked again with
+    `again`, which may add a reminder, up to `tries` calls in all; then the first `fallback` of the shortlist are taken.
     """
     lists = shortlists.groupBy("role_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "activity_id"))), lambda x: x["activity_id"]).alias("options"))
     kind = shortlists.schema["role_id"].dataType.simpleString()
     if choose is None:
-        rows = lists.select("role_id", F.slice("options", 1, min(fallback, most)).alias("chosen"), F.lit(True).alias("fallback_used"))
+        rows = lists.select("role_id", F.slice("options", 1, min(fallback, most)).alias("chosen"), F.lit(True).alias("fallback_used"), F.lit(0).alias("retry_count"))
     else:
 
+        def asked(options: list[str]) -> tuple[list[str], int]:
+            known, failed = valid if valid is not None else set(options), 0
+            while failed < tries:
+                try:
+                    answer = (again or choose)(options) if failed else choose(options)
+                except Exception:  # a call that fails is one that has said nothing
+                    answer = []
+                if picks := [x for x in dict.fromkeys(answer) if x in known]:
+                    return picks[:most], failed
+                failed += 1
+            return [], failed
+
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                picks = [[x for x in dict.fromkeys(choose(list(o))) if x in set(o)][:most] for o in frame["options"]]
-                used = [not p for p in picks]
-                yield pd.DataFrame({"role_id": frame["role_id"], "chosen": [p or list(o)[:fallback] for p, o in zip(picks, frame["options"], strict=True)], "fallback_used": used})
+                found = [asked(list(o)) for o in frame["options"]]
+                chosen = [p or list(o)[: min(fallback, most)] for (p, _), o in zip(found, frame["options"], strict=True)]
+                yield pd.DataFrame({"role_id": frame["role_id"], "chosen": chosen, "fallback_used": [not p for p, _ in found], "retry_count": [n for _, n in found]})
 
-        rows = lists.mapInPandas(run, f"role_id {kind}, chosen array<string>, fallback_used boolean")
-    return rows.select("role_id", F.posexplode("chosen").alias("p", "activity_id"), "fallback_used").select("role_id", (F.col("p") + 1).alias("activity_rank"), "activity_id", "fallback_used")
+        rows = lists.mapInPandas(run, f"role_id {kind}, chosen array<string>, fallback_used boolean, retry_count int")
+    rows = rows.select("role_id", F.posexplode("chosen").alias("p", "activity_id"), "fallback_used", "retry_count")
+    return rows.select("role_id", (F.col("p") + 1).alias("activity_rank"), "activity_id", "fallback_used", "retry_count")
 
 
 def vocabulary_usage(links: DataFrame, vocabulary: DataFrame, roles: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, mappings, reference, similarity
+from ..lineage import cut, shared_folder
+from ..operators import answers, hierarchy, mappings, reconcile, reference, similarity
 from .binding import Domain, ctes
-from .queries import GUIDE, guide_of, query
+from .queries import EDGES, GUIDE, edges_of, guide_of, query
 
 # --- workbooks --------------------------------------------------------------------------------------------------------
 
@@ -430,3 +433,51 @@ def active_batch(d: Domain) -> DataFrame:
     batches = mappings.with_new_batch(d.spark.createDataFrame([(1, "old", True)], "id long, source string, is_active boolean"), 2, "new")
     rows = d.mappings().withColumn("batch_id", 1 + F.col("id") % 2)
     return mappings.of_active_batch(rows, batches).select("position_id", "id", "code", "source")
+
+
+# --- answers and reconciliation ---------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT substr(sha256('label' || chr(0) || p_type), 1, 32) AS key, upper(p_type) AS answer, count(*) AS prompts, 1::BIGINT AS kept, 0::BIGINT AS asked_again FROM part GROUP BY p_type"""
+)
+def cached_answers(d: Domain) -> DataFrame:
+    """Two runs over one table of answers: the first asks for the types of small parts, the second for the others only. The
+    answers are the prompts in capitals, with the run that asked in front, which the table keeps."""
+    path = f"{shared_folder(d.spark)}/answers-{uuid.uuid4().hex}"
+    prompts = d.t("part").select(F.lit("label").alias("system"), F.col("p_type").alias("prompt"), "p_size")
+    asked = lambda run: lambda batch: [f"{run}:{prompt.upper()}" for _, prompt in batch]
+    first = answers.answered(prompts.where("p_size <= 10"), ["system", "prompt"], asked(1), path, round_rows=50)
+    known = cut(first.select("key").distinct())
+    rows = answers.answered(prompts, ["system", "prompt"], asked(2), path, round_rows=50)
+    stored = d.spark.read.schema(answers.SCHEMA).parquet(path).groupBy("key").agg(F.count("*").alias("kept"))
+    again = F.count_if(F.col("known").isNotNull() & (F.substring("answer", 1, 1) == "2")).alias("asked_again")
+    found = rows.join(known.withColumn("known", F.lit(True)), "key", "left").groupBy("key").agg(F.max(F.substring_index("answer", ":", -1)).alias("answer"), F.count("*").alias("prompts"), again)
+    return found.join(stored, "key").select("key", "answer", "prompts", "kept", "asked_again")
+
+
+@query(
+    """WITH later AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderdate FROM orders WHERE o_orderkey % 97 <> 0
+      UNION ALL SELECT -o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderkey % 101 = 0),
+    earlier AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders)
+    SELECT *, 1::BIGINT AS old_rows, 0::BIGINT AS new_rows FROM (FROM earlier EXCEPT ALL FROM later) UNION ALL SELECT *, 0, 1 FROM (FROM later EXCEPT ALL FROM earlier)"""
+)
+def reconciled_tables(d: Domain) -> DataFrame:
+    """Rows in which two versions of the orders differ, by trees of hashes."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
+    earlier = d.t("orders").select(columns)
+    later = earlier.where("o_orderkey % 97 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 89 == 0, "X").otherwise(F.col("o_orderstatus")))
+    later = later.unionByName(earlier.where("o_orderkey % 101 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
+    return reconcile.differences(earlier, later, ["o_orderkey"])
+
+
+@query(
+    f"""WITH {EDGES}, earlier AS (SELECT a, b, neighbour_rank AS k FROM edges WHERE neighbour_rank <= 5), later AS (SELECT a, b, neighbour_rank AS k FROM edges WHERE neighbour_rank <= CASE a % 7 WHEN 0 THEN 6 WHEN 1 THEN 4 ELSE 5 END)
+    SELECT a AS role_id, b AS neighbour_role_id, 'removed' AS change FROM (SELECT a, b FROM earlier EXCEPT SELECT a, b FROM later) UNION ALL SELECT a, b, 'added' FROM (SELECT a, b FROM later EXCEPT SELECT a, b FROM earlier)"""
+)
+def edge_delta(d: Domain) -> DataFrame:
+    """Edges that a build adds and removes, as edges."""
+    edges = cut(edges_of(d).select("role_id", "neighbour_role_id", "neighbour_rank"))
+    most = F.when(F.col("role_id") % 7 == 0, 6).when(F.col("role_id") % 7 == 1, 4).otherwise(5)
+    pair = ["role_id", "neighbour_role_id"]
+    return reconcile.changes(edges.where("neighbour_rank <= 5").select(pair), edges.where(F.col("neighbour_rank") <= most).select(pair), pair)

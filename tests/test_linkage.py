@@ -70,7 +70,7 @@ def test_singular_values_are_those_of_numpy(spark):
     a = r.standard_normal((150, 12)) * np.arange(12, 0, -1) @ r.standard_normal((12, 110)) + 0.05 * r.standard_normal((150, 110))
     a[r.random(a.shape) < 0.7] = 0
     a[3] = 0
-    cells = [(f"r{i:03d}", j, float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
+    cells = [(f"r{i:03d}", int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)]
     rows, values = svd.truncated(spark.createDataFrame(cells, "row string, column int, value double"), 150, 110, 10)
     u, s, _ = np.linalg.svd(a)
     assert np.allclose(values, s[:10], rtol=0.01)
