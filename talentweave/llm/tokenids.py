@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import NO_ID
 from .scratch import Scratch
 from .textbatch import blocks, utf8
 
@@ -214,7 +215,7 @@ def encode_blocks(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     64-bit integer; rows of the same id follow each other by a hash of their texts, so one id may fill many shards; an
     empty table has no blocks; other columns are not read.
     """
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("id"), docs[text_col].alias("text"))
     ranges, order = ["id"], ["id", F.xxhash64("text"), "text"]
     if rows.groupBy("id").count().where(F.col("count") > SAME_ID).head(1):  # ids alone; ranges by text need another scan of it
@@ -250,7 +251,8 @@ def encode_blocks(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
 
 def read_blocks(stored: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in stored blocks, read from their bytes."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in stored blocks, read from their bytes; rows that had no id
+    have none again."""
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each shard, so as many as shuffle partitions
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
@@ -270,7 +272,8 @@ def read_blocks(stored: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), *(pa.array(x, pa.int64()) for x in (starts, sizes, sums))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     columns = ["before", "first", "n_docs", "low_bits", "low", "high", "width", "ids", "doc_ids"]
-    return stored.join(F.broadcast(before), "shard").select(columns).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = stored.join(F.broadcast(before), "shard").select(columns).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def write_and_read(docs: DataFrame, scratch: Scratch, vocabulary: str) -> DataFrame:
