@@ -339,7 +339,7 @@ def assistant_payloads(positions: DataFrame, assigned: DataFrame, paths: DataFra
     families = tree.groupBy(F.col("query_id").alias("position_id"), "family", "family_place").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
     families = families.groupBy("position_id").agg(F.sort_array(F.collect_list(F.struct("family_place", "family", "nodes"))).alias("families"))
     codes = tree.select(F.col("query_id").alias("position_id"), F.explode(F.array("family", "node")).alias("code")).distinct()
-    lists = codes.join(roster, "code").groupBy("position_id").agg(F.sort_array(F.collect_list(F.struct("code", "total"))).alias("roster"))
+    lists = codes.join(roster, "code").groupBy("position_id").agg(F.sort_array(F.collect_list(F.struct("code", "total", "roles"))).alias("roster"))
     rows = positions.join(current, "position_id", "left").join(families, "position_id", "left").join(lists, "position_id", "left")
     is_executive = F.concat_ws("\n", "cohort", "grade").rlike(executive)
     shown = F.struct("position_id", "title", F.coalesce("grade", F.lit("")).alias("grade"), F.coalesce("current", F.lit("Unmapped")).alias("current"), is_executive.alias("executive"), "families", "roster")

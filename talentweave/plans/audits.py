@@ -109,10 +109,10 @@ def feature_status(d: Domain) -> DataFrame:
 
 @query(
     f"""WITH {SIMILAR} SELECT query_id, code, string_agg(CAST(vec_id AS VARCHAR), '|' ORDER BY similarity DESC, vec_id DESC) AS evidence FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id, code ORDER BY similarity DESC, vec_id DESC) AS k FROM near) WHERE k <= 2 GROUP BY 1, 2"""
+      SELECT *, row_number() OVER (PARTITION BY query_id, code ORDER BY similarity DESC, vec_id DESC) AS k FROM near) WHERE k <= 10 GROUP BY 1, 2"""
 )
 def evidence_lists(d: Domain) -> DataFrame:
-    rows = similarity.evidence_lists(near_of(d, 25), 2)
+    rows = similarity.evidence_lists(near_of(d, 25))
     return rows.select("query_id", "code", F.array_join(F.transform("evidence", lambda x: x["vec_id"].cast("string")), "|").alias("evidence"))
 
 

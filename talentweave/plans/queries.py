@@ -408,10 +408,11 @@ def cosine_search(d: Domain) -> DataFrame:
 
 
 @query(
-    f"WITH {ctes('vectors')} SELECT t.vec_id, f.vec_id AS framework_id, round(list_cosine_similarity(t.vector, f.vector), 6) AS similarity FROM vectors t CROSS JOIN (SELECT * FROM vectors WHERE vec_id < 20) f"
+    f"WITH {ctes('vectors')} SELECT t.vec_id, f.vec_id AS framework_id, round(list_cosine_similarity(t.vector, f.vector), 6) AS similarity FROM vectors t CROSS JOIN (SELECT * FROM vectors WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) f"
 )
 def framework_similarity(d: Domain) -> DataFrame:
-    return similarity.framework_scores(d.vectors(), d.vectors().where("vec_id < 20"))
+    """A framework for each label, its first vector."""
+    return similarity.framework_scores(d.vectors(), d.vectors().groupBy("code").agg(F.min_by("vector", "vec_id").alias("vector"), F.min("vec_id").alias("vec_id")))
 
 
 EVIDENCE = """count(*) AS n, count_if(validated) AS validated, max(similarity) AS best, list_avg(list_sort(list(similarity), 'DESC')[1:3]) AS top3"""
@@ -459,12 +460,12 @@ def guide_rollup(d: Domain) -> DataFrame:
 @query(
     f"""WITH {GUIDE}, top AS (SELECT query_id, node AS family, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS family_place FROM guide WHERE level = 'family'),
     under AS (SELECT g.query_id, t.family, t.family_place, g.node, g.score, row_number() OVER (PARTITION BY g.query_id, t.family ORDER BY g.score DESC, g.node) AS place
-      FROM guide g JOIN top t ON t.query_id = g.query_id AND t.family = split_part(g.node, '-', 1) AND t.family_place <= 2 WHERE g.level = 'sub')
-    SELECT query_id, family, CAST(family_place AS INT) AS family_place, node, CAST(place AS INT) AS place, score FROM under WHERE place <= 3"""
+      FROM guide g JOIN top t ON t.query_id = g.query_id AND t.family = split_part(g.node, '-', 1) AND t.family_place <= 4 WHERE g.level = 'sub')
+    SELECT query_id, family, CAST(family_place AS INT) AS family_place, node, CAST(place AS INT) AS place, score FROM under WHERE place <= 4"""
 )
 def guide_top_tree(d: Domain) -> DataFrame:
     nodes, parents = guide_of(d)
-    return similarity.guide_tree(nodes, parents, 2, 3)
+    return similarity.guide_tree(nodes, parents)
 
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE label IN (1, 2, 5) AND vec_id % 4 IN (0, 3) GROUP BY 1")
@@ -788,19 +789,26 @@ def matrix_to_rows(d: Domain) -> DataFrame:
 # --- beyond SQL -------------------------------------------------------------------------------------------------------
 
 
+def phrases_of(d: Domain) -> DataFrame:
+    return d.t("part").select(F.concat_ws(" ", "p_name", "p_type").alias("phrase"), F.col("p_brand").alias("label"), F.col("p_partkey").alias("seq"))
+
+
 @query()
 def tfidf_shortlist(d: Domain) -> DataFrame:
-    part = d.t("part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("text"))
-    vectors = cut(vocabulary.tfidf(part, "p_type", "text"))
-    roles = vectors.withColumnRenamed("p_type", "role_id")
-    return vocabulary.shortlist(roles, vectors.withColumnRenamed("p_type", "activity_id"))
+    """The 60 phrases nearest to what each supplier's lines are about; phrases and suppliers share one space."""
+    phrases = phrases_of(d).select(F.concat(F.lit("a:"), "phrase").alias("id"), F.col("phrase").alias("text")).distinct()
+    lines = d.t("lineitem").join(phrases_of(d), F.col("seq") == F.col("l_partkey"))
+    roles = lines.groupBy(F.concat(F.lit("r:"), F.col("l_suppkey").cast("string")).alias("id")).agg(F.array_join(F.array_sort(F.collect_set("phrase")), ". ").alias("text"))
+    vectors = cut(vocabulary.tfidf(phrases.unionByName(roles), "id", "text"))
+    side = lambda mark, name: vectors.where(F.startswith("id", F.lit(mark))).select(F.substring("id", 3, 1_000_000).alias(name), "vector")
+    return vocabulary.shortlist(side("r:", "role_id"), side("a:", "activity_id"))
 
 
 @query()
 def cluster_vocabulary(d: Domain) -> DataFrame:
-    phrases = vocabulary.phrase_counts(d.t("part").select(F.col("p_type").alias("phrase"), F.col("p_brand").alias("label"), F.col("p_partkey").alias("seq")))
+    phrases = vocabulary.phrase_counts(phrases_of(d))
     vectors = vocabulary.tfidf(phrases, "phrase", "phrase")
-    members = vocabulary.clustered(vectors, "phrase", 40).join(phrases, "phrase").withColumn("label", F.col("phrase"))
+    members = vocabulary.clustered(vectors, "phrase", 280).join(phrases, "phrase").withColumn("label", F.col("phrase"))
     return vocabulary.build_vocabulary(members)
 
 

@@ -342,7 +342,7 @@ def export_counters(d: Domain) -> DataFrame:
 @query(
     f"""WITH {ctes("hierarchy")}, caps AS (SELECT k, string_agg(p_type, '|' ORDER BY s, p_type) AS capabilities FROM (SELECT l_suppkey AS k, p_type, min(l_orderkey * 10 + l_linenumber) AS s FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 GROUP BY 1, 2) GROUP BY 1)
     SELECT s_suppkey AS position_id, CASE WHEN s_suppkey % 4 = 0 THEN 'Lead ' ELSE '' END || s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN 'display' WHEN s_suppkey % 3 = 1 THEN 'g1' ELSE 'G2' END AS grade_label, coalesce(h.code, '') AS code,
-      CASE WHEN h.code IS NULL THEN 'Unmapped' ELSE r_name END AS family_name, coalesce(h.name, '') AS sub_family_name, coalesce(r_name || ' > ' || h.name, '') AS path, s_suppkey % 4 = 0 AS manager_role, coalesce(capabilities, '') AS capabilities
+      CASE WHEN h.code IS NULL THEN 'Unmapped' ELSE r_name END AS family_name, coalesce(h.name, '') AS sub_family_name, coalesce(r_name || ' > ' || h.name, '') AS path, s_suppkey % 4 = 0 AS manager_role, coalesce(capabilities, '') AS capabilities, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE s_name || ' serves ' || n_name END AS purpose
     FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN hierarchy h ON h.code = 'R' || n_regionkey || '-N' || n_nationkey AND s_suppkey % 5 <> 0 LEFT JOIN region ON r_regionkey = n_regionkey AND h.code IS NOT NULL LEFT JOIN caps ON k = s_suppkey"""
 )
 def explorer_roles(d: Domain) -> DataFrame:
@@ -353,9 +353,9 @@ def explorer_roles(d: Domain) -> DataFrame:
     references = d.spark.createDataFrame([("G0", "display", "g0", 3.0), ("G1", "", "g1", 2.0)], "raw_label string, display_label string, abbreviation string, seniority_order double")
     lines = d.t("lineitem").where("l_linenumber = 1").join(d.t("part"), F.col("p_partkey") == F.col("l_partkey"))
     capabilities = lines.select(F.col("l_suppkey").alias("position_id"), F.lit("Focus").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), F.col("p_type").alias("name"))
-    purposes = positions.select("position_id", F.lit("p").alias("purpose")).limit(0)
+    purposes = nation.where("s_suppkey % 6 <> 0").select(key.alias("position_id"), F.concat("s_name", F.lit(" serves "), "n_name").alias("purpose"))
     rows = reference.explorer_rows(positions, primary, references, hierarchy.paths(d.hierarchy()), purposes, capabilities)
-    return rows.drop("seniority_order", "purpose").withColumn("capabilities", F.array_join("capabilities", "|"))
+    return rows.drop("seniority_order").withColumn("capabilities", F.array_join("capabilities", "|"))
 
 
 @query(
@@ -374,8 +374,11 @@ def guide_limits(d: Domain) -> DataFrame:
     under AS (SELECT g.query_id, t.family, t.family_place, g.node, row_number() OVER (PARTITION BY g.query_id, t.family ORDER BY g.score DESC, g.node) AS place
       FROM guide g JOIN top t ON t.query_id = g.query_id AND t.family = split_part(g.node, '-', 1) AND t.family_place <= 4 WHERE g.level = 'sub'),
     shown AS (SELECT query_id, string_agg(family || '/' || node, '|' ORDER BY family_place, place) AS nodes FROM under WHERE place <= 4 GROUP BY 1),
-    listed AS (SELECT query_id, string_agg(code || ':' || n, '|' ORDER BY code) AS roster FROM (SELECT DISTINCT query_id, family AS code FROM under WHERE place <= 4)
-      JOIN (SELECT 'F' || n_regionkey % 3 AS code, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1) USING (code) GROUP BY 1)
+    said AS (SELECT l_suppkey AS k, l_returnflag || l_linestatus AS statement, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS place FROM lineitem WHERE l_quantity > 48),
+    heads AS (SELECT k, count(*) AS total, string_agg(statement, '+' ORDER BY place) FILTER (place <= 3) AS head FROM said GROUP BY 1),
+    members AS (SELECT 'F' || n_regionkey % 3 AS code, count(*) AS n, string_agg(s_suppkey || '=' || coalesce(total, 0) || '=' || coalesce(head, ''), ';' ORDER BY s_suppkey) AS roles
+      FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN heads ON k = s_suppkey GROUP BY 1),
+    listed AS (SELECT query_id, string_agg(code || ':' || n || ':' || roles, '|' ORDER BY code) AS roster FROM (SELECT DISTINCT query_id, family AS code FROM under WHERE place <= 4) JOIN members USING (code) GROUP BY 1)
     SELECT vec_id AS position_id, CASE WHEN label % 2 = 0 THEN r_name || ' → ' || n_name ELSE 'Unmapped' END AS current, label % 3 = 0 AS executive, nodes, roster
     FROM embeddings JOIN nation ON n_nationkey = label % 25 JOIN region ON r_regionkey = n_regionkey LEFT JOIN shown ON shown.query_id = vec_id LEFT JOIN listed ON listed.query_id = vec_id"""
 )
@@ -387,12 +390,15 @@ def assistant_payload(d: Domain) -> DataFrame:
     place = d.t("nation").select(F.col("n_nationkey").alias("n"), F.concat(F.lit("R"), "n_regionkey", F.lit("-N"), "n_nationkey").alias("code"))
     assigned = v.where("label % 2 = 0").join(place, F.col("label") % 25 == F.col("n")).select("position_id", "code")
     roles = d.roles().select("role_id", "title", F.concat(F.lit("F"), (F.col("family") % 3).cast("string")).alias("code"))
-    roster = similarity.roster(roles, d.t("lineitem").limit(0).select(F.col("l_suppkey").alias("role_id"), F.lit(1).alias("sequence"), F.lit("").alias("statement")))
+    said = d.t("lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("role_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sequence"), F.concat("l_returnflag", "l_linestatus").alias("statement"))
+    roster = similarity.roster(roles, said)
     rows = reference.assistant_payloads(positions, assigned, hierarchy.paths(d.hierarchy()), tree, roster, "(?i)executive|exec band")
-    shape = "current string, executive boolean, families array<struct<family_place:int,family:string,nodes:array<struct<place:int,node:string,score:double>>>>, roster array<struct<code:string,total:bigint>>"
+    shape = "current string, executive boolean, families array<struct<family_place:int,family:string,nodes:array<struct<place:int,node:string,score:double>>>>, roster array<struct<code:string,total:bigint,roles:array<struct<role_id:bigint,statement_total:bigint,head:array<string>>>>>"
     x = rows.select("position_id", F.from_json("payload", shape).alias("p")).select("position_id", "p.*")
     listed = F.flatten(F.transform("families", lambda f: F.transform(f["nodes"], lambda n: F.concat(f["family"], F.lit("/"), n["node"]))))
-    return x.select("position_id", "current", "executive", F.array_join(listed, "|").alias("nodes"), F.array_join(F.transform("roster", lambda r: F.concat_ws(":", r["code"], r["total"])), "|").alias("roster"))
+    member = lambda m: F.concat_ws("=", m["role_id"].cast("string"), F.coalesce(m["statement_total"], F.lit(0)).cast("string"), F.array_join(F.coalesce(m["head"], F.array().cast("array<string>")), "+"))
+    shown = F.transform("roster", lambda r: F.concat_ws(":", r["code"], r["total"].cast("string"), F.array_join(F.transform(r["roles"], member), ";")))
+    return x.select("position_id", "current", "executive", F.array_join(listed, "|").alias("nodes"), F.array_join(shown, "|").alias("roster"))
 
 
 def clustered(d: Domain) -> dict[str, DataFrame]:

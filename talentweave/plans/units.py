@@ -232,12 +232,27 @@ def drafts_kept(d: Domain) -> DataFrame:
     return releases.drafts(records, edits, "position_id")
 
 
-@query(f"SELECT name, rows, roles, TRUE AS same, FALSE AS mixed, 'b|c' AS missing FROM ({ORACLES['dataset_reconciliation']})")
+@query(
+    f"""WITH a AS (SELECT o_orderstatus AS source_release, CAST(o_orderdate AS VARCHAR)[1:4] AS build_version, o_custkey % 8 AS part FROM orders),
+    sets AS (SELECT part, count(DISTINCT source_release || build_version) AS n FROM a WHERE part < 4 AND source_release = 'F' AND build_version = (SELECT min(build_version) FROM a) OR part >= 4 GROUP BY 1)
+    SELECT name, rows, roles, (SELECT max(n) = 1 FROM sets WHERE part < 4) AS same, (SELECT count(DISTINCT source_release || build_version) = 1 FROM a WHERE part >= 4) AS mixed,
+      (SELECT string_agg(n_name, '|' ORDER BY n_name) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)) AS missing FROM ({ORACLES['dataset_reconciliation']})"""
+)
 def release_checks(d: Domain) -> DataFrame:
+    """Data sets by roles; whether orders of one status and year, and all orders, are of one release; and nations (the
+    required objects) without a rich supplier (those present)."""
     rows = quality.dataset_roles(activities=d.role_activities(), capabilities=d.role_capabilities())
-    tagged = lambda release: d.t("region").select(F.lit(release).alias("source_release"), F.lit("1").alias("build_version"))
-    same, mixed = quality.same_release(tagged("a"), tagged("a")), quality.same_release(tagged("a"), tagged("b"))
-    return rows.withColumns({"same": F.lit(same), "mixed": F.lit(mixed), "missing": F.lit("|".join(quality.missing_objects(["a", "x"], ["c", "a", "b"])))})
+    year = F.substring(F.col("o_orderdate").cast("string"), 1, 4)
+    tagged = d.t("orders").select(F.col("o_orderstatus").alias("source_release"), year.alias("build_version"), (F.col("o_custkey") % 8).alias("part"))
+    first = tagged.agg(F.min("build_version")).first()[0]
+    of_one = tagged.where((F.col("source_release") == "F") & (F.col("build_version") == first))
+    same = quality.same_release(*(of_one.where(F.col("part") == k) for k in range(4)))
+    mixed = quality.same_release(*(tagged.where(F.col("part") == k) for k in range(4, 8)))
+    nations = d.t("nation").select("n_nationkey", "n_name")
+    present = nations.join(d.t("supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi")
+    names = lambda df: [r["n_name"] for r in df.select("n_name").collect()]  # noqa: E731  of nations
+    missing = "|".join(quality.missing_objects(names(present), names(nations)))
+    return rows.withColumns({"same": F.lit(same), "mixed": F.lit(mixed), "missing": F.lit(missing)})
 
 
 # --- frameworks, summaries, fans --------------------------------------------------------------------------------------
