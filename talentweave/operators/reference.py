@@ -67,6 +67,26 @@ def workbook_issues(framework: DataFrame, cells: DataFrame, mappings: DataFrame,
     return reduce(DataFrame.unionByName, tables)
 
 
+def sheet_changes(sheet: str, current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """(sheet, current, incoming, added, removed, changed): rows of one sheet by key; columns beside the keys tell whether a
+    row changed. Of repeated keys one row counts."""
+    side = lambda df, name: df.dropDuplicates(keys).select(*keys, F.struct(F.lit(True).alias("there"), *(c for c in df.columns if c not in keys)).alias(name))
+    both = side(current, "a").join(side(incoming, "b"), keys, "full")
+    old, new = F.col("a").isNotNull(), F.col("b").isNotNull()
+    counts = {"current": old, "incoming": new, "added": new & ~old, "removed": old & ~new, "changed": old & new & ~F.col("a").eqNullSafe(F.col("b"))}
+    return both.agg(*(F.count_if(c).alias(name) for name, c in counts.items())).select(F.lit(sheet).alias("sheet"), *counts)
+
+
+def workbook_preview(current: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> DataFrame:
+    """What applying a workbook would change, a row for each of its sheets: `framework` by code, `mappings` as the set of
+    (position, rank, code), `adjacency` by source and target. Both sides name their tables by sheet; blank mapping codes
+    are no assignments."""
+    assigned = lambda df: df.where(_filled("code")).select("position_id", "mapping_rank", "code")
+    rows = sheet_changes("framework", current["framework"], incoming["framework"], ["code"])
+    rows = rows.unionByName(sheet_changes("mappings", assigned(current["mappings"]), assigned(incoming["mappings"]), ["position_id", "mapping_rank", "code"]))
+    return rows.unionByName(sheet_changes("adjacency", current["adjacency"], incoming["adjacency"], ["source", "target"]))
+
+
 def apply_workbook(framework: DataFrame, cells: DataFrame, mappings: DataFrame, positions: DataFrame, batch_id: int, last_entry: int = 0, last_mapping: int = 0) -> dict[str, DataFrame]:
     """The tables that an accepted workbook replaces the active ones with.
 

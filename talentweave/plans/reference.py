@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut, shared_folder
-from ..operators import answers, hierarchy, mappings, reconcile, reference, similarity
+from ..operators import answers, hierarchy, mappings, reconcile, reference, search, similarity
 from .binding import Domain, ctes
 from .queries import EDGES, GUIDE, edges_of, guide_of, query
 
@@ -441,6 +441,42 @@ def active_batch(d: Domain) -> DataFrame:
     return mappings.of_active_batch(rows, batches).select("position_id", "id", "code", "source")
 
 
+# --- previews and search ----------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {ctes("hierarchy", "adjacency", "imported")}, f AS (SELECT h.code IS NOT NULL AS old, n.code IS NOT NULL AS new, (h.name, h.level, h.parent_code) IS DISTINCT FROM (n.name, n.level, n.parent_code) AS other FROM hierarchy h
+      FULL JOIN (SELECT code, CASE WHEN code LIKE '%-S1' THEN upper(name) || '!' ELSE name END AS name, level, parent_code FROM hierarchy WHERE code NOT LIKE '%-S2' UNION ALL SELECT 'Z' || code, name, level, parent_code FROM hierarchy WHERE level = 'Job Family') n USING (code)),
+    was AS (SELECT DISTINCT position_id, mapping_rank, code FROM imported WHERE code <> ''),
+    now AS (SELECT DISTINCT position_id, mapping_rank, CASE WHEN position_id % 11 = 0 THEN '' WHEN position_id % 13 = 0 THEN code || 'x' ELSE code END AS code FROM imported),
+    m AS (SELECT a.code IS NOT NULL AS old, b.code IS NOT NULL AS new, FALSE AS other FROM was a FULL JOIN (SELECT * FROM now WHERE code <> '') b USING (position_id, mapping_rank, code)),
+    c AS (SELECT a.tier IS NOT NULL AS old, b.tier IS NOT NULL AS new, a.tier <> b.tier AS other FROM adjacency a FULL JOIN (SELECT source, target, CASE WHEN source = 1 THEN 2 - tier ELSE tier END AS tier FROM adjacency WHERE target <> 3 UNION ALL SELECT 0, 4, 1) b USING (source, target))
+    SELECT sheet, count_if(old) AS current, count_if(new) AS incoming, count_if(new AND NOT old) AS added, count_if(old AND NOT new) AS removed, count_if(old AND new AND other) AS changed
+    FROM (SELECT 'framework' AS sheet, * FROM f UNION ALL SELECT 'mappings', * FROM m UNION ALL SELECT 'adjacency', * FROM c) GROUP BY 1"""
+)
+def workbook_preview(d: Domain) -> DataFrame:
+    tree, cells, mapped = d.hierarchy(), d.adjacency(), d.mappings()
+    renamed = tree.where("code not like '%-S2'").withColumn("name", F.when(F.col("code").endswith("-S1"), F.concat(F.upper("name"), F.lit("!"))).otherwise(F.col("name")))
+    renamed = renamed.unionByName(tree.where("level = 'Job Family'").withColumn("code", F.concat(F.lit("Z"), "code")))
+    code = F.when(F.col("position_id") % 11 == 0, "").when(F.col("position_id") % 13 == 0, F.concat("code", F.lit("x"))).otherwise(F.col("code"))
+    turned = cells.where("target <> 3").withColumn("tier", F.when(F.col("source") == 1, 2 - F.col("tier")).otherwise(F.col("tier")))
+    turned = turned.unionByName(d.t("region").where("r_regionkey = 0").select(F.col("r_regionkey").alias("source"), (F.col("r_regionkey") + 4).alias("target"), F.lit(1).alias("tier")))
+    return reference.workbook_preview({"framework": tree, "mappings": mapped, "adjacency": cells}, {"framework": renamed, "mappings": mapped.withColumn("code", code), "adjacency": turned})
+
+
+@query("SELECT item, doc_id FROM (SELECT 'document' AS item, doc_id AS doc_id, lower(text) AS t FROM documents UNION ALL SELECT 'page', page_id, lower(url) FROM pages) WHERE contains(t, 'the wh') OR contains(t, 'ple.co')")
+def indexed_search(d: Domain) -> DataFrame:
+    """Documents with a phrase, and pages by a part of their address, by indexes of trigrams."""
+    folder, found = f"{shared_folder(d.spark)}/trigrams-{uuid.uuid4().hex}", None
+    for item, table, key, column in (("document", "documents", "doc_id", "text"), ("page", "pages", "page_id", "url")):
+        rows = d.t(table).select(F.lit(item).alias("item"), F.col(key).alias("doc_id"), column)
+        search.build(rows, "doc_id", [column], f"{folder}/{table}")
+        for word in (" The WH", "ple.CO "):
+            hits = search.keyword_search(rows, "doc_id", [column], word.strip(), f"{folder}/{table}").select("item", "doc_id")
+            found = hits if found is None else found.unionByName(hits)
+    return found.distinct()
+
+
 # --- answers and reconciliation ---------------------------------------------------------------------------------------
 
 
