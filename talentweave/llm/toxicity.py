@@ -62,6 +62,11 @@ def _points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codepoints([f" {(x or '').lower()} " for x in texts])
 
 
+def _hashes(text: str) -> np.ndarray:
+    """The n-grams of a text, repeated ones too."""
+    return np.concatenate([h for _, h in _grams(_points([text])[0])] or [np.zeros(0, np.uint64)])
+
+
 def _chosen(known: DataFrame, rows: int, chars: int) -> list:
     """Rows (id, toxic, h, size) of the sample, of each class the first by hash that fit; the shortest one where none does.
 
@@ -132,11 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     if len(counts) < 2:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((label.sum() + 1) / ((~label).sum() + 1))))
 
-    seen: list[np.ndarray] = []  # the distinct n-grams of each document
-    for i, text in enumerate(texts):
-        seen.append(np.unique(np.concatenate([h for _, h in _grams(_points([text])[0])] or [np.zeros(0, np.uint64)])))
-        texts[i] = ""
-    all_grams, toxic_df, clean_df = _frequencies(seen, label, max(3, min(label.sum(), (~label).sum()) // 200))
+    least, found = max(3, min(label.sum(), (~label).sum()) // 200), []
+    for half in range(2):  # of the hashes, so that no more than half of all distinct n-grams are held at a time
+        found.append(_frequencies([np.unique(h[h >> np.uint64(63) == half]) for h in map(_hashes, texts)], label, least))
+    all_grams, toxic_df, clean_df = (np.concatenate([x[k] for x in found]) for k in range(3))
     p, q = (toxic_df + 1) / (label.sum() + 2), (clean_df + 1) / ((~label).sum() + 2)
     gain = np.abs(p - q) * np.abs(np.log(p / q))
     best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
@@ -144,10 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     grams, ratio = all_grams[best], np.log(p[best] / q[best])
 
     owner, column = [], []
-    for i, found in enumerate(seen):
-        at = np.searchsorted(grams, found)
+    for i, h in enumerate(map(_hashes, texts)):
+        at = np.searchsorted(grams, h)
         at[at == len(grams)] = 0
-        hit = at[grams[at] == found] if len(grams) else at[:0]
+        hit = np.unique(at[grams[at] == h]) if len(grams) else at[:0]
         owner.append(np.full(len(hit), i)), column.append(hit)
     weights, bias = _logistic(np.concatenate(owner), np.concatenate(column), ratio, label)
     if min(counts.values()) * LEAST_SHARE < sum(counts.values()):
