@@ -251,8 +251,8 @@ def release_checks(d: Domain) -> DataFrame:
     nations = d.t("nation").select("n_nationkey", "n_name")
     present = nations.join(d.t("supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_semi")
     names = lambda df: [r["n_name"] for r in df.select("n_name").collect()]  # noqa: E731  of nations
-    missing = "|".join(quality.missing_objects(names(present), names(nations)))
-    return rows.withColumns({"same": F.lit(same), "mixed": F.lit(mixed), "missing": F.lit(missing)})
+    missing = "|".join(quality.missing_objects(names(present), names(nations))) or None  # nothing missing is null, as in SQL
+    return rows.withColumns({"same": F.lit(same), "mixed": F.lit(mixed), "missing": F.lit(missing).cast("string")})
 
 
 # --- frameworks, summaries, fans --------------------------------------------------------------------------------------
