@@ -309,7 +309,7 @@ def deep_hierarchy(d: Domain) -> DataFrame:
     orders = consecutive(d.t("orders").select("o_orderkey"), "o_orderkey", name="n")
     numbered = orders.select(F.col("o_orderkey").cast("string").alias("code"), "n")
     above = numbered.select(F.col("code").alias("parent_code"), (F.col("n") + 3).alias("n"))
-    chains = numbered.join(above, "n", "left").select("code", F.coalesce("parent_code", F.lit("")).alias("parent_code"))
+    chains = numbered.join(above.hint("merge"), "n", "left").select("code", F.coalesce("parent_code", F.lit("")).alias("parent_code"))
     last = numbered.orderBy(F.desc("n")).limit(1).select(F.col("code").alias("last"))
     tree = d.hierarchy().crossJoin(F.broadcast(last)).select("code", F.when(F.col("parent_code") == "", F.col("last")).otherwise(F.col("parent_code")).alias("parent_code"))
     return hierarchy.depths(chains.unionByName(tree))
